@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm import dartminhash, lookalike
+from scriptorium.llm import dartminhash, leakage, lexicon, lookalike, site_lines
 from scriptorium.storage import stage, table
 
 
@@ -17,6 +17,28 @@ def p4_groups(spark, sf_dir: str) -> DataFrame:
     return dartminhash.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def p2_found(spark, sf_dir: str) -> DataFrame:
+    return site_lines.repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no")
+
+
+def p2_cleaned(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return site_lines.without_lines(docs, site_lines.repeated_lines(docs))
+
+
+def p8_ids(spark, sf_dir: str) -> DataFrame:
+    return lexicon.encode(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p9_cleaned(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return leakage.without_leaks(docs, leakage.leaks(docs, table(spark, sf_dir, "eval_items")))
+
+
 def p10_found(spark, sf_dir: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, sf_dir, "documents"))
 
@@ -25,5 +47,5 @@ def p10_consistent(spark, sf_dir: str) -> DataFrame:
     return lookalike.consistent_text(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p10_found, p10_consistent)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_cleaned, p4_found, p4_groups, p8_ids, p9_found, p9_cleaned, p10_found, p10_consistent)}
 SQL: dict[str, str] = {}
