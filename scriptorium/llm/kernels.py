@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import unicodedata
+import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.storage import ship
 
@@ -30,6 +34,21 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(run, schema)
 
 
+def share_arrays(spark: SparkSession, arrays: dict[str, np.ndarray]) -> str:
+    """Send arrays of bounded size to every executor as files; gives the token under which tasks map them."""
+    token = f"arrays-{uuid.uuid4().hex}"
+    folder = Path(tempfile.mkdtemp(prefix="arrays-"))
+    for name, array in arrays.items():
+        np.save(folder / f"{token}-{name}.npy", array)
+        spark.sparkContext.addFile(str(folder / f"{token}-{name}.npy"))
+    return token
+
+
+def mapped(token: str, name: str) -> np.ndarray:
+    """Inside a task: one shared array, memory-mapped, so the workers of an executor hold it once."""
+    return np.asarray(np.load(SparkFiles.get(f"{token}-{name}.npy"), mmap_mode="r"))
+
+
 # --- consistent form -------------------------------------------------------------------------------------------------
 
 # Letters of other alphabets that look like Latin letters, pair by pair.

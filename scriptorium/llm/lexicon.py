@@ -21,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.kernels import list_array, map_slices
+from scriptorium.llm.kernels import list_array, map_slices, mapped, share_arrays
 
 VOCABULARY, WORDS, LEAST = "/opt/tokenizers/byte_bpe_50k.tiktoken", 32_768, 16
 # Fixed value: the vocabulary's own pattern of words.
@@ -196,14 +196,8 @@ def frequent_words(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> D
 class _Encoder:
     """What a Python worker keeps: the mapped lexicon, the ranks, and the pieces met so far (at most a million)."""
 
-    def __init__(self, lexicon_path: str, vocabulary_path: str):
-        with np.load(lexicon_path) as z:
-            names = z.files
-        folder = Path(tempfile.mkdtemp(prefix="lexicon-"))
-        with np.load(lexicon_path) as z:
-            for name in names:
-                np.save(folder / f"{name}.npy", z[name])
-        self.lexicon = {name: np.asarray(np.load(folder / f"{name}.npy", mmap_mode="r")) for name in names}
+    def __init__(self, token: str, vocabulary_path: str):
+        self.lexicon = {name: mapped(token, name) for name in ("arc", "target", "number", "final", "offsets", "ids")}
         self.ranks = read_ranks(vocabulary_path)
         self.split = regex.compile(PATTERN).findall
         self.clear()
@@ -262,9 +256,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = WORDS) ->
     The lexicon holds the `words` most frequent words of the corpus, so its size is bounded by that parameter.
     """
     spark = docs.sparkSession
-    token = f"lexicon-{uuid.uuid4().hex}"
-    folder = Path(tempfile.mkdtemp(prefix="lexicon-"))
-    shared = folder / f"{token}-{Path(vocabulary).name}"
+    shared = Path(tempfile.mkdtemp(prefix="vocabulary-")) / f"{uuid.uuid4().hex}-{Path(vocabulary).name}"
     shared.write_bytes(Path(vocabulary).read_bytes())
     spark.sparkContext.addFile(str(shared))
 
@@ -274,14 +266,12 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = WORDS) ->
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([merge(w.encode(), ranks) for w in words], pa.list_(pa.int32()))], names=["word", "ids"])
 
     chosen = map_slices(frequent_words(docs, words).select("word").repartition(spark.sparkContext.defaultParallelism), merged, "word string, ids array<int>")
-    np.savez(folder / f"{token}.npz", **compile_lexicon({r[0].encode(): list(r[1]) for r in chosen.collect()}))
-    spark.sparkContext.addFile(str(folder / f"{token}.npz"))
-    names = (f"{token}.npz", shared.name)
+    token = share_arrays(spark, compile_lexicon({r[0].encode(): list(r[1]) for r in chosen.collect()}))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if token not in _encoders:
             _encoders.clear()
-            _encoders[token] = _Encoder(SparkFiles.get(names[0]), SparkFiles.get(names[1]))
+            _encoders[token] = _Encoder(token, SparkFiles.get(shared.name))
         return pa.RecordBatch.from_arrays([batch.column(0), _encoders[token].encode(batch.column(1).to_pylist())], names=["doc_id", "ids"])
 
     return map_slices(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm import dartminhash, leakage, lexicon, lookalike, site_lines
+from scriptorium.llm import dartminhash, encoding, language, leakage, lexicon, lookalike, pieces, simhash, site_lines
 from scriptorium.storage import stage, table
 
 
@@ -17,6 +17,15 @@ def p4_groups(spark, sf_dir: str) -> DataFrame:
     return dartminhash.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def p1_found(spark, sf_dir: str) -> DataFrame:
+    return simhash.cross_split(table(spark, sf_dir, "train_balanced")).select("sample_id_a", "sample_id_b")
+
+
+def p1_counts(spark, sf_dir: str) -> DataFrame:
+    samples = table(spark, sf_dir, "train_balanced")
+    return simhash.overlap_counts(samples, simhash.cross_split(samples))
+
+
 def p2_found(spark, sf_dir: str) -> DataFrame:
     return site_lines.repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no")
 
@@ -26,6 +35,34 @@ def p2_cleaned(spark, sf_dir: str) -> DataFrame:
     return site_lines.without_lines(docs, site_lines.repeated_lines(docs))
 
 
+def p5_found(spark, sf_dir: str) -> DataFrame:
+    return language.wrong_labels(table(spark, sf_dir, "documents")).select("doc_id", "lang")
+
+
+def p5_lines(spark, sf_dir: str) -> DataFrame:
+    return language.line_languages(table(spark, sf_dir, "documents"))
+
+
+def _items(spark, sf_dir: str) -> DataFrame:
+    return pieces.project_items(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "papers"))
+
+
+def p6_found(spark, sf_dir: str) -> DataFrame:
+    return pieces.pieces(_items(spark, sf_dir)).where("n_pieces > 1").select("item_kind", "item_id").distinct()
+
+
+def p6_pieces(spark, sf_dir: str) -> DataFrame:
+    return pieces.pieces(_items(spark, sf_dir))
+
+
+def p7_found(spark, sf_dir: str) -> DataFrame:
+    return encoding.garbled_fields(table(spark, sf_dir, "documents")).select("doc_id", "field").distinct()
+
+
+def p7_restored(spark, sf_dir: str) -> DataFrame:
+    return encoding.garbled_fields(table(spark, sf_dir, "documents"))
+
+
 def p8_ids(spark, sf_dir: str) -> DataFrame:
     return lexicon.encode(table(spark, sf_dir, "documents"))
 
@@ -47,5 +84,10 @@ def p10_consistent(spark, sf_dir: str) -> DataFrame:
     return lookalike.consistent_text(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_cleaned, p4_found, p4_groups, p8_ids, p9_found, p9_cleaned, p10_found, p10_consistent)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_cleaned, p4_found, p4_groups, p5_found, p5_lines, p6_found, p6_pieces, p7_found, p7_restored, p8_ids, p9_found, p9_cleaned, p10_found, p10_consistent)}
+SQL: dict[str, str] = {
+    "p6_found": """
+        SELECT 'chunk' AS item_kind, id AS item_id FROM chunks WHERE length(content) > 3000
+        UNION SELECT 'paper', id FROM papers WHERE length(body) > 3000
+    """,
+}
