@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import encoding
-from scriptorium.llm.kernels import canon, map_slices, mapped, share_arrays
+from scriptorium.llm.kernels import canon, map_slices
 from scriptorium.llm.samples import LANGUAGES, SAMPLE_DOCS, label, labelled_lines
 
 TRAIN_CHARS, LEAST_CHARS, WINDOW, BITS = 20_000, 100, 256, 6
@@ -76,8 +76,8 @@ def suffix_automaton(text: np.ndarray) -> np.ndarray:
     return table
 
 
-def parser(texts: list[np.ndarray]) -> dict[str, np.ndarray]:
-    """One table for all languages: entry = next state * 2 + whether a new phrase began; roots: the start states.
+def parser(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One table for all languages: entry = next state * 2 + whether a new phrase began; and the start states.
 
     Where the passage can't go on, the next symbol begins a phrase, from the start state.
     """
@@ -89,7 +89,18 @@ def parser(texts: list[np.ndarray]) -> dict[str, np.ndarray]:
         parts.append(step.astype(np.int32))
         roots.append(1 + base)
         base += len(table)
-    return {"table": np.concatenate(parts).ravel(), "roots": np.array(roots, np.int32)}
+    return np.concatenate(parts).ravel(), np.array(roots, np.int32)
+
+
+_parsers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _parser(token: str, shared) -> tuple[np.ndarray, np.ndarray]:
+    """The tables of a run, built once in each Python worker: the texts are kilobytes, the tables tens of megabytes."""
+    if token not in _parsers:
+        _parsers.clear()
+        _parsers[token] = parser(shared.value)
+    return _parsers[token]
 
 
 def phrases(table: np.ndarray, roots: np.ndarray, lines: list[np.ndarray], window: int = WINDOW) -> np.ndarray:
@@ -119,27 +130,26 @@ def phrases(table: np.ndarray, roots: np.ndarray, lines: list[np.ndarray], windo
     return out
 
 
-def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample_docs: int = SAMPLE_DOCS, chars: int = TRAIN_CHARS) -> dict[str, np.ndarray]:
-    """The parser of the languages, from at most `chars` symbols each of a bounded sample of labelled lines.
+def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample_docs: int = SAMPLE_DOCS, chars: int = TRAIN_CHARS) -> list[np.ndarray]:
+    """Text of each language, of at most some `chars` symbols, from a bounded sample of labelled lines.
 
     Labels may be wrong: the lines are halved, and a line is used only if the parser of the other half agrees with its label.
     """
     lines = [(languages.index(lang), coded(text)) for lang, text in labelled_lines(docs, languages, sample_docs)]
 
-    def fit(chosen: list[tuple[int, np.ndarray]], limit: int) -> dict[str, np.ndarray]:
+    def fit(chosen: list[tuple[int, np.ndarray]], limit: int) -> list[np.ndarray]:
         texts = []
         for i in range(len(languages)):
             own = [x for lang, x in chosen if lang == i]
             room = np.cumsum([0] + [len(x) for x in own])[:-1] < limit if own else []
             texts.append(np.concatenate([x for x, r in zip(own, room) if r] or [np.empty(0, np.uint8)])[: 2 * limit])
-        return parser(texts)
+        return texts
 
     halves = [lines[::2], lines[1::2]]
     kept = []
     for own, other in ((halves[0], halves[1]), (halves[1], halves[0])):
         if own:
-            p = fit(other, chars // 4)
-            winner = phrases(p["table"], p["roots"], [x for _, x in own]).argmin(0)
+            winner = phrases(*parser(fit(other, chars // 4)), [x for _, x in own]).argmin(0)
             kept += [pair for pair, w in zip(own, winner.tolist()) if pair[0] == w]
     return fit(kept, chars)
 
@@ -151,8 +161,8 @@ def line_languages(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, leas
     a tie (the first language of the list then wins). Lines without letters, null and empty texts have no rows.
     """
     spark = docs.sparkSession
-    token = share_arrays(spark, train(docs, languages, sample_docs))
-    repair, dictionaries = uuid.uuid4().hex, spark.sparkContext.broadcast(encoding.train(docs, languages, sample_docs))
+    token, texts = uuid.uuid4().hex, spark.sparkContext.broadcast(train(docs, languages, sample_docs))
+    dictionaries = spark.sparkContext.broadcast(encoding.train(docs, languages, sample_docs))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, numbers, codes = [], [], []
@@ -162,7 +172,7 @@ def line_languages(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, leas
                 if len(line) < least_chars:
                     continue
                 if odd and encoding.SUSPICIOUS.search(line):
-                    line = encoding.readable(encoding.repairer(repair, dictionaries), line)
+                    line = encoding.readable(encoding.repairer(token, dictionaries), line)
                     if len(line) < least_chars:
                         continue
                 code = coded(canon(line))
@@ -172,7 +182,7 @@ def line_languages(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, leas
                     codes.append(code)
         if not ids:
             return None
-        count = phrases(mapped(token, "table"), mapped(token, "roots"), codes)
+        count = phrases(*_parser(token, texts), codes)
         best = count.argmin(0)
         first, second = np.partition(count, min(1, len(languages) - 1), 0)[: 2 if len(languages) > 1 else 1][[0, -1]]
         return pa.RecordBatch.from_arrays(
