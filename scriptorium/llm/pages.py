@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.kernels import canon, map_slices, mapped, share_arrays
 from scriptorium.storage import stage
 
-BITS, SHORT, SIGMA, LEAST_ARTICLES = 18, 200, 1.0, 5
+BITS, SHORT, TITLE, SIGMA, LEAST_ARTICLES, ROUNDS = 18, 200, 120, 1.0, 5, 3
 MARK = re.compile(r"^\s*(?:[-+*•»>\[]|\d{1,2}[.)])\s*")
 LINKS = re.compile(r"[|·>»©]|\S+@\S+|https?://|\s{2,}\S|\s/\s")
 ADDRESS = re.compile(r"\S+@\S+|https?://\S+")
@@ -68,35 +68,48 @@ def features(line: str, bits: int = BITS) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(n) >> (64 - bits) for n in names), np.int64, len(names))
 
 
-def title_weights(docs: DataFrame, headings: DataFrame, bits: int = BITS, short: int = SHORT) -> np.ndarray:
-    """Log-odds per feature bucket of titles against short lines at large, from all rows.
+def title_weights(docs: DataFrame, headings: DataFrame, bits: int = BITS, longest: int = TITLE, rounds: int = ROUNDS) -> np.ndarray:
+    """Log-odds per feature bucket that a short line is a title, learned from titles and unlabelled lines of pages.
 
-    docs: title, text - titles stand on one side, all other short lines on the other: those are a mixture that holds titles
-    too, which weakens the odds but does not turn them. headings: text with headings of articles, further lines of the
-    other side. The table's size is fixed, and so is what passes the driver.
+    docs: title, text, document_type. Titles of all documents stand on one side, short lines of web pages on the other; those
+    hold titles too, so in each further round the lines that the last round took for titles are left out there.
+    headings: text with headings of articles, further lines of the other side. All rows count; the table's size is fixed,
+    and so is what passes the driver.
     """
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = np.zeros((2, 1 << bits), np.int64)
-        for title, text in zip(*(c.to_pylist() for c in batch.columns)):
-            own = LETTERS.sub("", canon(title or "").lower())
-            if own and len(title) <= short:
-                np.add.at(counts[1], features(canon(title), bits), 1)
-            for line in (text or "").split("\n"):
-                if 0 < len(line) <= short and line.strip():
-                    line = canon(line)
-                    if LETTERS.sub("", line.lower()) != own:
-                        np.add.at(counts[0], features(line, bits), 1)
-        met = np.flatnonzero(counts.sum(0))
-        return pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(counts[1][met], pa.int64()), pa.array(counts[0][met], pa.int64())], names=["bucket", "title", "other"])
-
-    rows = docs.select("title", "text").unionByName(headings.select(F.lit(None).cast("string").alias("title"), "text"))
-    got = map_slices(rows, run, "bucket int, title long, other long").groupBy("bucket").agg(F.sum("title").alias("title"), F.sum("other").alias("other")).toPandas()
-    counts = np.ones((2, 1 << bits))
-    counts[0, got["bucket"]] += got["title"]
-    counts[1, got["bucket"]] += got["other"]
-    counts /= np.maximum(counts.sum(1, keepdims=True) - (1 << bits), 1)
-    return np.log(counts[0] / counts[1]).astype(np.float32)
+    spark = docs.sparkSession
+    rows = docs.select("title", F.when(F.col("document_type") == "webpage", F.col("text")).alias("text")).unionByName(headings.select(F.lit(None).cast("string").alias("title"), "text"))
+    rows = rows.where("title is not null or text is not null")
+    weights = np.zeros(1 << bits, np.float32)
+    for _ in range(rounds):
+        token = share_arrays(spark, {"weights": weights})
+
+        def run(batch: pa.RecordBatch, token: str = token) -> pa.RecordBatch:
+            weight = mapped(token, "weights")
+            met: tuple[list, list] = ([], [])
+            for title, text in zip(*(c.to_pylist() for c in batch.columns)):
+                own = LETTERS.sub("", canon(title or "").lower())
+                if own and len(title) <= longest:
+                    met[1].append(features(canon(title), bits))
+                for line in (text or "").split("\n"):
+                    if 0 < len(line) <= longest and line.strip():
+                        line = canon(line)
+                        if LETTERS.sub("", line.lower()) != own:
+                            f = features(line, bits)
+                            if weight[f].sum() <= 0:
+                                met[0].append(f)
+            sides = [np.unique(np.concatenate(m or [np.empty(0, np.int64)]), return_counts=True) for m in met]
+            bucket = np.concatenate([x[0] for x in sides])
+            n = np.concatenate([x[1] for x in sides])
+            is_title = np.repeat([0, 1], [len(x[0]) for x in sides])
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(n * is_title, pa.int64()), pa.array(n * (1 - is_title), pa.int64())], names=["bucket", "title", "other"])
+
+        got = map_slices(rows, run, "bucket int, title long, other long").groupBy("bucket").agg(F.sum("title").alias("title"), F.sum("other").alias("other")).toPandas()
+        counts = np.ones((2, 1 << bits))
+        counts[0, got["bucket"]] += got["title"]
+        counts[1, got["bucket"]] += got["other"]
+        counts /= np.maximum(counts.sum(1, keepdims=True) - (1 << bits), 1)
+        weights = np.log(counts[0] / counts[1]).astype(np.float32)
+    return weights
 
 
 def _key(line: str, source: str) -> str:
@@ -132,7 +145,7 @@ def page_lines(docs: DataFrame, weights: np.ndarray, short: int = SHORT) -> Data
                     what = "line"
                     if own and LETTERS.sub("", canon(line).lower()) == own:
                         what = "own"
-                    elif page and weight[features(canon(line), bits)].sum() > 0:
+                    elif page and len(line) <= TITLE and weight[features(canon(line), bits)].sum() > 0:
                         what = "title"
                     key = _key(line, name)
                     found.append([doc, i + 1, page, xxhash.xxh3_64_intdigest(key) - 2**63 if key else None, article, what, bool(region[i]), int(tags[i])])

@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm import dartminhash, encoding, language, leakage, lexicon, lookalike, pieces, simhash, site_lines
-from scriptorium.storage import stage, table
+from scriptorium.llm import dartminhash, encoding, language, leakage, lexicon, lookalike, pages, pieces, simhash, site_lines
+from scriptorium.storage import table
+
+
+def _boilerplate(spark, sf_dir: str) -> DataFrame:
+    return pages.boilerplate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "papers").select(F.col("body").alias("text")))
+
+
+def p3_found(spark, sf_dir: str) -> DataFrame:
+    return _boilerplate(spark, sf_dir)
+
+
+def p3_main_text(spark, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "documents"), _boilerplate(spark, sf_dir))
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
@@ -84,7 +96,7 @@ def p10_consistent(spark, sf_dir: str) -> DataFrame:
     return lookalike.consistent_text(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_cleaned, p4_found, p4_groups, p5_found, p5_lines, p6_found, p6_pieces, p7_found, p7_restored, p8_ids, p9_found, p9_cleaned, p10_found, p10_consistent)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_cleaned, p3_found, p3_main_text, p4_found, p4_groups, p5_found, p5_lines, p6_found, p6_pieces, p7_found, p7_restored, p8_ids, p9_found, p9_cleaned, p10_found, p10_consistent)}
 SQL: dict[str, str] = {
     "p6_found": """
         SELECT 'chunk' AS item_kind, id AS item_id FROM chunks WHERE length(content) > 3000
