@@ -1 +1,76 @@
-"""(to come)"""
+"""Cleaning of pages and lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scriptorium.catalog import query
+from scriptorium.operators import cleaning as C
+from scriptorium.storage import table
+
+_MARKERS = ["Back to top", "맨 위로", "Nach oben"]
+_PATTERNS = ["^©", "^[ \\t]*[-*»+][ \\t]", "@"]
+_WIDGETS = ["print", "save", "share", "mail", "chat", "copy", "link", "comments", "menu", "search", "close"]
+
+
+def _pages(spark, d):
+    """Pages made of the documents: the text in an article, among elements without content."""
+    docs = table(spark, d, "documents").where("text is not null and not contains(text, '<') and not contains(text, '>')")
+    html = F.concat(
+        F.lit("<html><head><title> "), F.coalesce("title", F.lit("")), F.lit(" </title><script>var a = '<p>no</p>';</script></head><body><nav><a>Menu</a></nav><!-- <p>no</p> --><article><p>"),
+        F.replace(F.col("text"), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></article><footer>Imprint</footer></body></html>"),
+    )
+    return docs.select("doc_id", html.alias("html"))
+
+
+@query("""SELECT doc_id, nullif(trim(title), '') AS title, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text
+  FROM documents WHERE text IS NOT NULL AND NOT contains(text, '<') AND NOT contains(text, '>') AND NOT contains(coalesce(title, ''), '<')""")
+def clean_pages(spark, d):
+    pages = _pages(spark, d).select("doc_id", C.page_title(F.col("html")).alias("title"), C.page_text(F.col("html")).alias("text"))
+    return pages.where("not contains(coalesce(title, ''), '<')")
+
+
+_LINES = "string_split(text, chr(10))"
+
+
+@query(f"""WITH l AS (SELECT doc_id, {_LINES} AS lines, list_position(list_transform({_LINES}, lambda x: starts_with(trim(x), 'Back to top') OR starts_with(trim(x), '맨 위로') OR starts_with(trim(x), 'Nach oben')), true) AS pos FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, array_to_string(CASE WHEN pos > 0 THEN lines[1 : pos - 1] ELSE lines END, chr(10)) AS text FROM l""")
+def footers_cut(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(C.before_marker(F.split("text", "\n", -1), _MARKERS), "\n").alias("text"))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest({_LINES}) AS line, unnest(range(len({_LINES}))) AS i FROM documents WHERE text IS NOT NULL),
+  w AS (SELECT *, list_filter(regexp_split_to_array(trim(line), '[ \t]+'), lambda x: x <> '') AS w, list_filter(regexp_split_to_array(trim(line), '[ \t|·:,]+'), lambda x: x <> '') AS u FROM l),
+  k AS (SELECT *, (len(w) >= 6 AND len(list_filter(w, lambda x: length(x) > 8)) = 0 AND NOT regexp_matches(line, '[.!?。]')) AS menu,
+    (len(u) >= 3 AND len(list_filter(u, lambda x: lower(x) IN ('print', 'save', 'share', 'mail', 'chat', 'copy', 'link', 'comments', 'menu', 'search', 'close'))) / greatest(len(u), 1) >= 0.6) AS widget,
+    regexp_matches(line, '^©') OR regexp_matches(line, '^[ \t]*[-*»+][ \t]') OR regexp_matches(line, '@') AS pattern FROM w)
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT menu AND NOT widget AND NOT pattern), '') AS text, count(*) FILTER (WHERE menu OR widget OR pattern) AS removed FROM k GROUP BY doc_id""")
+def boilerplate_lines(spark, d):
+    lines = F.split("text", "\n", -1)
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", lines.alias("l"), C.keep_lines(lines, _PATTERNS, _WIDGETS).alias("k"))
+    return rows.select("doc_id", F.array_join("k", "\n").alias("text"), (F.size("l") - F.size("k")).alias("removed"))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, trim(unnest({_LINES})) AS line, unnest(range(len({_LINES}))) AS i FROM documents WHERE text IS NOT NULL),
+  m AS (SELECT *, length(line) <= 60 AND NOT regexp_matches(line, '[.!?。]') AS menu FROM l WHERE line <> ''), b AS (SELECT *, sum(CASE WHEN menu THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS breaks FROM m)
+  SELECT doc_id, min(i) + 1 AS first, max(i) + 1 AS last, count(*) AS n FROM b WHERE menu GROUP BY doc_id, breaks HAVING count(*) >= 4""")
+def menu_runs(spark, d):
+    return C.menu_runs(table(spark, d, "documents"), least=4, longest=60)
+
+
+@query()
+def reflowed_texts(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", C.reflow(F.col("text")).alias("text"))
+
+
+@query()
+def parsed_sections(spark, d):
+    papers = table(spark, d, "papers").where("body is not null")
+    text = F.concat_ws("\n", F.lit("Introduction"), "introduction", "body", F.lit("Conclusion"), "conclusion")
+    return papers.select("id", C.split_sections(text).alias("s")).select("id", "s.*")
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?i)<br[ \t]*/?>', ' ', 'g'), '\[[^\]\n]{0,80}(?:rights|권리)[^\]\n]{0,80}\]', ' ', 'g'), '[ \t]+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL""")
+def fixed_substitutions(spark, d):
+    table_of = [("(?i)<br[ \\t]*/?>", " "), ("\\[[^\\]\\n]{0,80}(?:rights|권리)[^\\]\\n]{0,80}\\]", " "), ("[ \\t]+", " ")]
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.trim(C.substitute(F.col("text"), table_of)).alias("text"))

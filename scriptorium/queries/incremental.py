@@ -1 +1,112 @@
-"""(to come)"""
+"""Incremental intake, maintenance, sources and sinks."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from scriptorium.catalog import query
+from scriptorium.functions import text as T
+from scriptorium.operators import maintenance as M
+from scriptorium.queries.dedupe import _arrivals
+from scriptorium.sources import readers as R
+from scriptorium.sources import sinks as S
+from scriptorium.storage import shared_dir, table
+from scriptorium.streaming import intake
+
+
+@query()
+def incremental_intake(spark, d):
+    """All documents as a stream of files in order of arrival; statuses are those of the whole at once."""
+    folder = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
+    rows = _arrivals(spark, d)
+    order = F.struct(F.coalesce("created_at", F.lit(0).cast("timestamp")), "doc_id")
+    bounds = rows.select(F.percentile_approx(F.unix_micros(F.coalesce("created_at", F.lit(0).cast("timestamp"))), [0.33, 0.66])).first()[0]
+    part = F.when(F.unix_micros("created_at") <= bounds[0], 0).when(F.unix_micros("created_at") <= bounds[1], 1).otherwise(2)
+    part = F.when(F.col("created_at").isNull(), 0).otherwise(part)
+    for i in range(3):
+        rows.where(part == i).orderBy(order).coalesce(1).write.mode("append").parquet(folder)
+    return intake.run(spark, folder, rows.schema).select("doc_id", "status")
+
+
+_NEW = "regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', E'\\n\\n', 'g')"
+
+
+@query(f"SELECT doc_id, sha256(text) AS old, sha256({_NEW}) AS new FROM documents WHERE text <> {_NEW}")
+def rewrite_diff(spark, d):
+    new = F.regexp_replace(F.regexp_replace("text", "[ \\t]+", " "), "\\n{3,}", "\n\n")
+    diff = M.rewrite_diff(table(spark, d, "documents"), "doc_id", "text", new)
+    return diff.select("doc_id", F.sha2("old", 256).alias("old"), F.sha2("new", 256).alias("new"))
+
+
+@query(r"""WITH f AS (SELECT doc_id, published_at AS s, try_strptime(nullif(regexp_extract(text, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''), '%Y-%m-%d')::DATE AS e, CAST(date_trunc('month', created_at) AS DATE) AS a FROM documents)
+  SELECT doc_id, CASE WHEN e IS NOT NULL AND s IS NOT DISTINCT FROM e THEN 'unchanged' WHEN e IS NOT NULL THEN 'exact' WHEN a IS NOT NULL AND CAST(date_trunc('month', s) AS DATE) IS DISTINCT FROM a THEN 'approximate' WHEN a IS NOT NULL THEN 'unchanged' ELSE 'manual' END AS outcome FROM f""")
+def date_outcomes(spark, d):
+    from scriptorium.functions.dates import iso_date
+
+    rows = table(spark, d, "documents").select("doc_id", F.col("published_at").alias("s"), iso_date(F.regexp_extract("text", "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)).alias("e"), F.trunc("created_at", "month").alias("a"))
+    return rows.select("doc_id", M.date_outcomes(rows, "s", "e", "a").alias("outcome"))
+
+
+@query("""WITH gone AS (SELECT doc_id FROM documents WHERE category = 'unknown')
+  SELECT 'documents' AS name, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM gone) UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE document_id NOT IN (SELECT doc_id FROM gone)
+  UNION ALL SELECT 'links', count(*) FROM document_entities WHERE document_id NOT IN (SELECT doc_id FROM gone) UNION ALL SELECT 'citations', count(*) FROM paper_citations WHERE document_id NOT IN (SELECT doc_id FROM gone)""")
+def cascade_delete(spark, d):
+    docs = table(spark, d, "documents")
+    children = {"chunks": (table(spark, d, "chunks"), "document_id"), "links": (table(spark, d, "document_entities"), "document_id"), "citations": (table(spark, d, "paper_citations"), "document_id")}
+    left = M.cascade(docs, children, "doc_id", docs.where("category = 'unknown'"))
+    out = None
+    for name, df in left.items():
+        row = df.agg(F.count("*").alias("n")).select(F.lit("documents" if name == "parents" else name).alias("name"), "n")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+@query("SELECT doc_id, title, lang, published_at FROM documents")
+def json_lines_round_trip(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "title", "lang", "published_at")
+    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    S.json_lines(rows, path)
+    return R.json_lines(spark, path, rows.schema)
+
+
+@query("SELECT doc_id, source, category FROM documents WHERE source IS NOT NULL AND category IS NOT NULL")
+def csv_round_trip(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source", "category").where("source is not null and category is not null")
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    S.csv(rows, path)
+    return spark.read.schema(rows.schema).csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+@query("SELECT doc_id, trim(title) AS title, url AS link FROM documents WHERE url IS NOT NULL AND title IS NOT NULL AND trim(title) <> ''")
+def feed_items(spark, d):
+    """Feed entries, written as XML records and read back; entries without a link are left out."""
+    rows = table(spark, d, "documents").where("title is not null and trim(title) <> ''").select("doc_id", F.to_xml(F.struct(F.trim("title").alias("title"), F.col("url").alias("link")), {"rowTag": "item"}).alias("xml"))
+    return R.feed_items(rows, "xml").select("doc_id", "title", "link")
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS INT) AS place, chunk_index FROM (SELECT document_id AS doc_id, chunk_index FROM chunks)")
+def enveloped_lists(spark, d):
+    """Answers that hold one object or a list under a name, brought to rows."""
+    listed = table(spark, d, "chunks").groupBy(F.col("document_id").alias("doc_id")).agg(F.sort_array(F.collect_list("chunk_index")).alias("all"))
+    one = F.to_json(F.struct(F.struct(F.col("all")[0].alias("i")).alias("rows")))
+    many = F.to_json(F.struct(F.transform("all", lambda x: F.struct(x.alias("i"))).alias("rows")))
+    answers = listed.select("doc_id", F.when(F.size("all") == 1, one).otherwise(many).alias("json"))
+    return R.envelope_rows(answers, "json", "rows", "struct<i:int>").select("doc_id", F.col("place").alias("place"), F.col("row.i").alias("chunk_index"))
+
+
+@query("SELECT d.doc_id, t.url FROM documents d LEFT JOIN (SELECT title, arg_min(url, doc_id) AS url FROM documents WHERE url IS NOT NULL AND title IS NOT NULL GROUP BY title) t ON t.title = d.title")
+def urls_by_title(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "title", "url")
+    return R.urls_by_title(docs.select("doc_id", "title"), docs).select("doc_id", "url")
+
+
+_BASE = "regexp_replace(lower(trim({})), 'v[0-9]+$', '')".format
+
+
+@query(f"""WITH w AS (SELECT DISTINCT paper_id AS id FROM train_balanced WHERE split <> 'train' AND paper_id IS NOT NULL), h AS (SELECT DISTINCT paper_id AS id FROM train_balanced WHERE split = 'train' AND paper_id IS NOT NULL)
+  SELECT w.id, coalesce((SELECT min(h.id) FROM h WHERE h.id = w.id), (SELECT min(h.id) FROM h WHERE {_BASE('h.id')} = {_BASE('w.id')})) AS found FROM w""")
+def ids_by_precedence(spark, d):
+    rows = table(spark, d, "train_balanced").where("paper_id is not null").select("split", F.col("paper_id").alias("id"))
+    return R.by_precedence(rows.where("split <> 'train'").select("id").distinct(), rows.where("split = 'train'").select("id").distinct())
