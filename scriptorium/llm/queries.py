@@ -14,7 +14,7 @@ def _boilerplate(spark, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
-    return _boilerplate(spark, sf_dir)
+    return _boilerplate(spark, sf_dir).distinct()
 
 
 def p3_main_text(spark, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def p3_main_text(spark, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
-    return dartminhash.document_pairs(*dartminhash.near_duplicates(table(spark, sf_dir, "documents")))
+    return dartminhash.document_pairs(*dartminhash.near_duplicates(table(spark, sf_dir, "documents"))).distinct()
 
 
 def p4_groups(spark, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def p4_groups(spark, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
-    return simhash.cross_split(table(spark, sf_dir, "train_balanced")).select("sample_id_a", "sample_id_b")
+    return simhash.cross_split(table(spark, sf_dir, "train_balanced")).select("sample_id_a", "sample_id_b").distinct()
 
 
 def p1_counts(spark, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def p2_cleaned(spark, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
-    return language.wrong_labels(table(spark, sf_dir, "documents")).select("doc_id", "lang")
+    return language.wrong_labels(table(spark, sf_dir, "documents")).select("doc_id", "lang").distinct()
 
 
 def p5_lines(spark, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def p9_cleaned(spark, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark, sf_dir: str) -> DataFrame:
-    return lookalike.lookalike_pairs(table(spark, sf_dir, "documents"))
+    return lookalike.lookalike_pairs(table(spark, sf_dir, "documents")).distinct()
 
 
 def p10_consistent(spark, sf_dir: str) -> DataFrame:

@@ -31,11 +31,11 @@ def kinds() -> np.ndarray:
 
 
 def line_chunks(docs: DataFrame, window: int = WINDOW, mask: int = MASK) -> DataFrame:
-    """doc_id, source_id, line_no, key, key_first, chunks, firsts - one row per line that has a letter.
+    """doc_id, source_id, line_no, key, chunks, firsts - one row per line that has a letter.
 
     The characters of the key of a line stream through a rolling hash over `window` characters; where its low bits are
     zero the line is cut, so equal passages give equal chunks wherever they stand. A line's end ends its last
-    chunk. key is the hash over the line's chunks; key_first and firsts mark their first place in the document.
+    chunk. key is the hash over the line's chunks; firsts marks the first place of each chunk in the document.
     Documents with null text or null source have no rows.
     """
 
@@ -85,15 +85,14 @@ def line_chunks(docs: DataFrame, window: int = WINDOW, mask: int = MASK) -> Data
                 pa.array(np.array(sources)[doc], pa.int32()),
                 pa.array((lines - first_line[doc] + 1).astype(np.int32), pa.int32()),
                 pa.array(key.view(np.int64), pa.int64()),
-                pa.array(_first(doc, key)),
                 list_array(chunk.view(np.int64), n_chunks, pa.int64()),
                 list_array(_first(doc_of_line[chunk_line], chunk), n_chunks, pa.bool_()),
             ],
-            names=["doc_id", "source_id", "line_no", "key", "key_first", "chunks", "firsts"],
+            names=["doc_id", "source_id", "line_no", "key", "chunks", "firsts"],
         )
 
     rows = docs.select("doc_id", "source_id", "text").where("text is not null and source_id is not null")
-    return map_slices(rows, run, "doc_id long, source_id int, line_no int, key long, key_first boolean, chunks array<long>, firsts array<boolean>")
+    return map_slices(rows, run, "doc_id long, source_id int, line_no int, key long, chunks array<long>, firsts array<boolean>")
 
 
 def _first(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -110,16 +109,16 @@ def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, **params) -> D
     Documents are counted per source and chunk with map-side partial sums (a chunk that a third of all documents
     carry is one partial row per task); lines all of whose chunks reach the number are candidates, and the exact count of
     their whole keys decides. Joins bring rows of hot chunks to a side with one row per chunk, which the
-    adaptive skew join splits.
+    adaptive skew join splits. A row that is repeated under one id is one document.
     """
     lines = stage(line_chunks(docs, **params), "lines")
     chunks = lines.select("doc_id", "line_no", "source_id", F.explode(F.arrays_zip("chunks", "firsts")).alias("c"), F.size("chunks").alias("n")).select("doc_id", "line_no", "source_id", "n", F.col("c.chunks").alias("chunk"), F.col("c.firsts").alias("first"))
     common = chunks.groupBy("source_id", "chunk").agg(F.count_if("first").alias("docs")).where(F.col("docs") >= least_docs).select("source_id", "chunk")
     whole = chunks.drop("first").join(common, ["source_id", "chunk"], "left_semi").groupBy("doc_id", "line_no").agg(F.count("*").alias("met"), F.first("n").alias("n")).where("met = n").select("doc_id", "line_no")
-    candidates = lines.select("doc_id", "line_no", "source_id", "key", "key_first").join(whole, ["doc_id", "line_no"], "left_semi")
+    candidates = lines.select("doc_id", "line_no", "source_id", "key").join(whole, ["doc_id", "line_no"], "left_semi")
     candidates = stage(candidates, "candidate-lines")
-    sure = candidates.groupBy("source_id", "key").agg(F.count_if("key_first").alias("docs")).where(F.col("docs") >= least_docs).select("source_id", "key")
-    return candidates.join(sure, ["source_id", "key"], "left_semi").select("doc_id", "line_no", "source_id")
+    sure = candidates.groupBy("source_id", "key").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= least_docs).select("source_id", "key")
+    return candidates.join(sure, ["source_id", "key"], "left_semi").select("doc_id", "line_no", "source_id").distinct()
 
 
 def without_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
