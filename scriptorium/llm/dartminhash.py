@@ -20,6 +20,7 @@ from scriptorium.llm.kernels import U64, canon, list_array, map_slices, mix, run
 from scriptorium.storage import stage
 
 ROWS, BANDS, SHINGLE, MIN_WORDS, SIMILARITY = 5, 60, 3, 30, 0.6
+CODE_BITS = 128  # one bit of each of the first darts; unequal bits tell apart pairs that only share a band by chance
 _POISSON = (np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)]) * 2.0**64).astype(np.uint64)  # of mean 1
 _GOLD = U64(0x9E3779B97F4A7C15)
 
@@ -73,7 +74,7 @@ def signatures(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray, k:
 
 
 def fingerprint(docs: DataFrame, rows: int = ROWS, bands: int = BANDS, shingle: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, k1, k2 (hash of the word sequence), shingles (32-bit hashes, distinct), bands (64-bit band keys).
+    """doc_id, k1, k2 (hash of the word sequence), code1, code2 (one-bit code), shingles (32-bit hashes, distinct), bands (64-bit band keys).
 
     The words are those of the consistent form. Documents under min_words words, null and empty ones have no row.
     """
@@ -99,7 +100,9 @@ def fingerprint(docs: DataFrame, rows: int = ROWS, bands: int = BANDS, shingle:
         for i in range(0, len(sizes), step):
             lo, hi = (0 if i == 0 else ends[i - 1]), ends[min(i + step, len(sizes)) - 1]
             parts.append(signatures(elements[lo:hi], np.ones(hi - lo), sizes[i : i + step], k))
-        sig = np.concatenate(parts).reshape(len(sizes), bands, rows)
+        sig = np.concatenate(parts)
+        code = np.packbits((mix(sig[:, :CODE_BITS]) & U64(1)).astype(np.uint8), axis=1).view(">i8").astype(np.int64)
+        sig = sig.reshape(len(sizes), bands, rows)
         with np.errstate(over="ignore"):
             key = np.broadcast_to(np.arange(1, bands + 1, dtype=U64) * _GOLD, (len(sizes), bands)).copy()
             for r in range(rows):
@@ -109,13 +112,21 @@ def fingerprint(docs: DataFrame, rows: int = ROWS, bands: int = BANDS, shingle:
                 pa.array(ids, pa.int64()),
                 pa.array([x[0] for x in keys], pa.int64()),
                 pa.array([x[1] for x in keys], pa.int64()),
+                pa.array(code[:, 0].copy(), pa.int64()),
+                pa.array(code[:, 1].copy(), pa.int64()),
                 list_array((elements >> U64(32)).astype(np.uint32).view(np.int32), sizes, pa.int32()),
                 list_array(key.view(np.int64).ravel(), np.full(len(sizes), bands), pa.int64()),
             ],
-            names=["doc_id", "k1", "k2", "shingles", "bands"],
+            names=["doc_id", "k1", "k2", "code1", "code2", "shingles", "bands"],
         )
 
-    return map_slices(docs.select("doc_id", "text").where("text is not null"), run, "doc_id long, k1 long, k2 long, shingles array<int>, bands array<long>")
+    return map_slices(docs.select("doc_id", "text").where("text is not null"), run, "doc_id long, k1 long, k2 long, code1 long, code2 long, shingles array<int>, bands array<long>")
+
+
+def most_apart(similarity: float) -> int:
+    """Unequal code bits that a pair of that similarity passes only once in some hundred thousand cases (4.3 deviations)."""
+    p = (1 - similarity) / 2
+    return math.ceil(CODE_BITS * p + 4.3 * math.sqrt(CODE_BITS * p * (1 - p)))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, **params) -> tuple[DataFrame, DataFrame]:
@@ -123,8 +134,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, **params) -
 
     classes: doc_id, rep - every document of enough words with the least doc_id of equal word sequence.
     links: rep_a, rep_b, similarity - representatives whose Jaccard similarity over distinct word runs is at least
-    `similarity`, rep_a < rep_b. Candidates share a band of their dart signatures; each is verified on the whole
-    shingle sets. Copies collapse before the band join, so a text delivered a million times is one row there;
+    `similarity`, rep_a < rep_b. Candidates share a band of their dart signatures and lie near in the one-bit code, whose
+    rows are small; each is verified on the whole shingle sets. Copies collapse before the band join, so a text delivered a million times is one row there;
     oversized band buckets are split by the adaptive skew join, and no bucket is capped.
     """
     prints = stage(fingerprint(docs, **params), "darts")
@@ -134,7 +145,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, **params) -
     banded = prints.select("doc_id", F.explode("bands").alias("band")).join(heads, "doc_id", "left_semi")
     a, b = banded.alias("a"), banded.alias("b")
     candidates = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("rep_a"), F.col("b.doc_id").alias("rep_b")).distinct()
-    candidates = stage(candidates, "candidates")
+    codes = prints.select("doc_id", "code1", "code2")
+    for side in ("rep_a", "rep_b"):
+        candidates = candidates.join(codes.select(F.col("doc_id").alias(side), F.col("code1").alias(f"{side}_1"), F.col("code2").alias(f"{side}_2")), side)
+    apart = sum(F.bit_count(F.col(f"rep_a_{i}").bitwiseXOR(F.col(f"rep_b_{i}"))) for i in (1, 2))
+    candidates = stage(candidates.where(apart <= most_apart(similarity)).select("rep_a", "rep_b"), "candidates")
     involved = candidates.select(F.col("rep_a").alias("doc_id")).union(candidates.select("rep_b")).distinct()
     sets = prints.select("doc_id", "shingles").join(involved, "doc_id", "left_semi")
     one = sets.select(F.col("doc_id").alias("rep_a"), F.col("shingles").alias("s"))
