@@ -38,12 +38,12 @@ def envelope_rows(df: DataFrame, json: str, name: str, element: str) -> DataFram
 
 def in_language(elements: Column, language: str) -> Column:
     """Of elements with _VALUE and _lang: the value in the language, else the first."""
-    return F.coalesce(F.filter(elements, lambda e: e["_lang"] == language)[0]["_VALUE"], elements[0]["_VALUE"])
+    return F.coalesce(F.get(F.filter(elements, lambda e: e["_lang"] == language), F.lit(0))["_VALUE"], F.get(elements, F.lit(0))["_VALUE"])
 
 
 def identifier(elements: Column, kind: str) -> Column:
     """Of elements with _VALUE and _type: the value of the kind; null if none has it."""
-    return F.filter(elements, lambda e: e["_type"] == kind)[0]["_VALUE"]
+    return F.get(F.filter(elements, lambda e: e["_type"] == kind), F.lit(0))["_VALUE"]
 
 
 def harvested(df: DataFrame, xml: str, language: str = "en") -> DataFrame:
@@ -81,6 +81,6 @@ def by_precedence(wanted: DataFrame, have: DataFrame) -> DataFrame:
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    """path, html: files decoded as UTF-8, else as Windows-1252, from their bytes."""
+    """path, html: files decoded as UTF-8, else as Latin-1, from their bytes."""
     raw = spark.read.format("binaryFile").load(folder)
-    return raw.select("path", F.coalesce(F.when(F.expr("is_valid_utf8(cast(content as string))"), F.col("content").cast("string")), F.decode("content", "windows-1252")).alias("html"))
+    return raw.select("path", F.coalesce(F.when(F.expr("is_valid_utf8(cast(content as string))"), F.col("content").cast("string")), F.decode("content", "iso-8859-1")).alias("html"))
