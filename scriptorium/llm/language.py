@@ -7,6 +7,7 @@ passage from its start that the language's text contains. The language that need
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from scriptorium.llm.samples import LANGUAGES, SAMPLE_DOCS, label, labelled_line
 TRAIN_CHARS, LEAST_CHARS, WINDOW, BITS = 20_000, 100, 256, 6
 # Fixed value: accented letters of Latin alphabets that have a symbol of their own.
 ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
+# Script of each symbol: 0 none, 1 Latin, 2 Hangul, 3 Japanese and Chinese, 4 other.
+SCRIPT = np.array([0] + [1] * 57 + [2] + [3] * 3 + [4] * 2)
 _symbols: np.ndarray | None = None
 
 
@@ -79,13 +82,14 @@ def suffix_automaton(text: np.ndarray) -> np.ndarray:
 def parser(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """One table for all languages: entry = next state * 2 + whether a new phrase began; and the start states.
 
-    Where the passage can't go on, the next symbol begins a phrase, from the start state.
+    Leaving the start state begins a phrase. Where the passage can't go on, the next symbol begins one too.
     """
     parts, roots, base = [], [], 0
     for text in texts:
         table = suffix_automaton(text)
         fresh = np.where(table[1] > 0, table[1], 1)  # a symbol the language never has is a phrase of its own
         step = np.where(table > 0, (table + base) * 2, (fresh[None, :] + base) * 2 + 1)
+        step[1] = (fresh + base) * 2 + 1
         parts.append(step.astype(np.int32))
         roots.append(1 + base)
         base += len(table)
@@ -124,7 +128,6 @@ def phrases(table: np.ndarray, roots: np.ndarray, lines: list[np.ndarray], windo
         step = table[(state[:, :k] << BITS) + data[begin[:k] + t]]
         count[:, :k] += step & 1
         state[:, :k] = step >> 1
-    count += 1
     for i in range(len(roots)):
         out[i] = np.bincount(line, count[i], len(lines))
     return out
@@ -133,9 +136,13 @@ def phrases(table: np.ndarray, roots: np.ndarray, lines: list[np.ndarray], windo
 def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample_docs: int = SAMPLE_DOCS, chars: int = TRAIN_CHARS) -> list[np.ndarray]:
     """Text of each language, of at most some `chars` symbols, from a bounded sample of labelled lines.
 
-    Labels may be wrong: the lines are halved, and a line is used only if the parser of the other half agrees with its label.
+    Labels may be wrong: a line is used only if its script is the one that most lines of its label have, and if the parser of the
+    other half of the lines agrees with its label.
     """
     lines = [(languages.index(lang), coded(text)) for lang, text in labelled_lines(docs, languages, sample_docs)]
+    scripts = [int(np.bincount(SCRIPT[x], minlength=5)[1:].argmax()) for _, x in lines]
+    usual = {lang: Counter(s for (own, _), s in zip(lines, scripts) if own == lang).most_common(1)[0][0] for lang in {lang for lang, _ in lines}}
+    lines = [pair for pair, s in zip(lines, scripts) if s == usual[pair[0]]]
 
     def fit(chosen: list[tuple[int, np.ndarray]], limit: int) -> list[np.ndarray]:
         texts = []

@@ -114,7 +114,7 @@ def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, **params) -> D
     lines = stage(line_chunks(docs, **params), "lines")
     chunks = lines.select("doc_id", "line_no", "source_id", F.explode(F.arrays_zip("chunks", "firsts")).alias("c"), F.size("chunks").alias("n")).select("doc_id", "line_no", "source_id", "n", F.col("c.chunks").alias("chunk"), F.col("c.firsts").alias("first"))
     common = chunks.groupBy("source_id", "chunk").agg(F.count_if("first").alias("docs")).where(F.col("docs") >= least_docs).select("source_id", "chunk")
-    whole = chunks.drop("first").join(common, ["source_id", "chunk"], "left_semi").groupBy("doc_id", "line_no").agg(F.count("*").alias("met"), F.first("n").alias("n")).where("met = n").select("doc_id", "line_no")
+    whole = chunks.drop("first").join(common, ["source_id", "chunk"], "left_semi").groupBy("doc_id", "line_no").agg(F.count("*").alias("met"), F.first("n").alias("n")).where("met >= n").select("doc_id", "line_no")
     candidates = lines.select("doc_id", "line_no", "source_id", "key").join(whole, ["doc_id", "line_no"], "left_semi")
     candidates = stage(candidates, "candidate-lines")
     sure = candidates.groupBy("source_id", "key").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= least_docs).select("source_id", "key")
