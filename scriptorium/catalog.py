@@ -28,4 +28,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["search_contexts"](spark, sf_dir)
 
 
-from scriptorium.queries import cleaning, dates, dedupe, graph, incremental, relational, retrieval, text, training, validation  # noqa: E402, F401
+from scriptorium.queries import cleaning, dates, dedupe, graph, incremental, records, relational, retrieval, text, training, validation  # noqa: E402, F401
