@@ -114,10 +114,10 @@ class Compressors:
         return best
 
 
-def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample_docs: int = SAMPLE_DOCS, chars: int = DICTIONARY_CHARS) -> list[bytes]:
-    """One dictionary per language, of at most `chars` characters of lines labelled with it."""
+def train(lines: list[tuple[str, str]], chars: int = DICTIONARY_CHARS) -> list[bytes]:
+    """One dictionary per language, of some `chars` characters of (language, line) labelled with it."""
     kept: dict[str, list[str]] = {}
-    for lang, line in labelled_lines(docs, languages, sample_docs):
+    for lang, line in lines:
         if sum(map(len, kept.setdefault(lang, []))) < chars:
             kept[lang].append(line)
     return ["\n".join(lines).encode("utf-8", "surrogatepass") for _, lines in sorted(kept.items())]
@@ -157,14 +157,14 @@ def repairer(token: str, shared) -> Repairer:
     return _repairers[token]
 
 
-def garbled_fields(docs: DataFrame, **params) -> DataFrame:
+def garbled_fields(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, field ('text' or 'title'), restored, chains, complete - a row for each field with a garbled place.
 
     restored holds the field with every restorable line restored and all else as stored; complete is false where
     replacement characters show that something was lost. Null and empty fields have no rows. The models are a few hundred
     kilobytes, bounded by parameters, and broadcast; the pass itself is narrow.
     """
-    token, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(train(docs, **params))
+    token, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(train(labelled_lines(docs, languages, sample_docs)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fix = repairer(token, shared)

@@ -133,13 +133,13 @@ def phrases(table: np.ndarray, roots: np.ndarray, lines: list[np.ndarray], windo
     return out
 
 
-def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample_docs: int = SAMPLE_DOCS, chars: int = TRAIN_CHARS) -> list[np.ndarray]:
+def train(labelled: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES, chars: int = TRAIN_CHARS) -> list[np.ndarray]:
     """Text of each language, of at most some `chars` symbols, from a bounded sample of labelled lines.
 
     Labels may be wrong: a line is used only if its script is the one that most lines of its label have, and if the parser of the
     other half of the lines agrees with its label.
     """
-    lines = [(languages.index(lang), coded(text)) for lang, text in labelled_lines(docs, languages, sample_docs)]
+    lines = [(languages.index(lang), coded(text)) for lang, text in labelled]
     scripts = [int(np.bincount(SCRIPT[x], minlength=5)[1:].argmax()) for _, x in lines]
     usual = {lang: Counter(s for (own, _), s in zip(lines, scripts) if own == lang).most_common(1)[0][0] for lang in {lang for lang, _ in lines}}
     lines = [pair for pair, s in zip(lines, scripts) if s == usual[pair[0]]]
@@ -168,8 +168,9 @@ def line_languages(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, leas
     a tie (the first language of the list then wins). Lines without letters, null and empty texts have no rows.
     """
     spark = docs.sparkSession
-    token, texts = uuid.uuid4().hex, spark.sparkContext.broadcast(train(docs, languages, sample_docs))
-    dictionaries = spark.sparkContext.broadcast(encoding.train(docs, languages, sample_docs))
+    sample = labelled_lines(docs, languages, sample_docs)
+    token, texts = uuid.uuid4().hex, spark.sparkContext.broadcast(train(sample, languages))
+    dictionaries = spark.sparkContext.broadcast(encoding.train(sample))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, numbers, codes = [], [], []

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.kernels import list_array, map_slices, mapped, share_arrays
+from scriptorium.storage import stage
 
 VOCABULARY, WORDS, LEAST = "/opt/tokenizers/byte_bpe_50k.tiktoken", 32_768, 16
 # Fixed value: the vocabulary's own pattern of words.
@@ -45,28 +46,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word: the adjacent pair of least rank is joined until no joined pair is in the vocabulary."""
+    """Ids of one word: the adjacent pair of least rank, the leftmost of equals, is joined until no pair is in the vocabulary."""
     if word in ranks:
         return [ranks[word]]
+    rank, none = ranks.get, 1 << 60
     parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            rank = ranks.get(parts[i] + parts[i + 1])
-            if rank is not None and (best is None or rank < best):
-                best, at = rank, i
-        if best is None:
-            break
-        pair = parts[at] + parts[at + 1]
-        joined, i = [], 0
-        while i < len(parts):
-            if i + 1 < len(parts) and parts[i] + parts[i + 1] == pair:
-                joined.append(pair)
-                i += 2
-            else:
-                joined.append(parts[i])
-                i += 1
-        parts = joined
+    pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+    while pairs and (least := min(pairs)) < none:
+        i = pairs.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
     return [ranks[p] for p in parts]
 
 
@@ -176,7 +169,11 @@ def look_up(lexicon: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
 
 
 def frequent_words(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
-    """word, n: the `words` most frequent words of all texts, seen `least` times or more, ties by the word. Every text is counted."""
+    """word, n: the most frequent words of all texts, at most `words` and each seen `least` times or more. Every text is counted.
+
+    Frequencies fall into classes of a sixteenth of a doubling; whole classes are taken from the top while they fit, so
+    no task sorts the vocabulary and only the sizes of the classes, a thousand at most, go to the driver.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: Counter[str] = Counter()
@@ -190,7 +187,15 @@ def frequent_words(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> D
                 counts[word] += n
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    return map_slices(docs.select("text").where("text is not null"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(words)
+    counts = map_slices(docs.select("text").where("text is not null"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = stage(counts.withColumn("class", F.floor(F.log2("n") * 16).cast("int")), "words")
+    room, lowest = words, None
+    for row in counts.groupBy("class").agg(F.count("*").alias("size")).orderBy(F.desc("class")).collect():
+        room -= row["size"]
+        if room < 0:
+            break
+        lowest = row["class"]
+    return counts.where(F.col("class") >= (lowest if lowest is not None else 2**30)).select("word", "n")
 
 
 class _Encoder:

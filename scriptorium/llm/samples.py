@@ -21,8 +21,11 @@ def label(column: str) -> F.Column:
 def labelled_lines(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, size: int = SAMPLE_DOCS, least: int = 100) -> list[tuple[str, str]]:
     """(label, line) of the lines of `least` or more characters and without marks of a wrong encoding, of at most `size` documents.
 
-    The documents are those of least id hash among all that carry one of the labels, so any run takes the same ones.
+    The documents are those of least id hash among all that carry one of the labels, so any run takes the same ones. The bound
+    of the sample is found on ids alone; then the texts below it, and no others, go to the driver.
     """
     rows = docs.select("doc_id", "text", label("lang").alias("label")).where(F.col("label").isin(*languages) & F.col("text").isNotNull())
-    taken = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size).select("label", "text").collect()
-    return [(r[0], line) for r in taken for line in r[1].split("\n") if len(line) >= least and not _MARKED.search(line)]
+    rows = rows.withColumn("at", F.struct(F.xxhash64("doc_id"), "doc_id"))
+    bound = rows.select("at").orderBy("at").limit(size).agg(F.max("at").alias("at"))
+    taken = rows.join(F.broadcast(bound.withColumnRenamed("at", "bound")), F.col("at") <= F.col("bound")).select("label", "text").collect()  # one row is broadcast
+    return sorted((r[0], line) for r in taken for line in r[1].split("\n") if len(line) >= least and not _MARKED.search(line))
