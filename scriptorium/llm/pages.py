@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.kernels import canon, map_slices, mapped, share_arrays
 from scriptorium.storage import stage
 
-BITS, SHORT, TITLE, SIGMA, LEAST_ARTICLES, ROUNDS = 18, 200, 120, 1.0, 5, 3
+BITS, SHORT, TITLE, SIGMA, LEAST_ARTICLES, ROUNDS, MARGIN = 18, 200, 120, 1.0, 5, 3, 0.0
 MARK = re.compile(r"^\s*(?:[-+*•»>\[]|\d{1,2}[.)])\s*")
 LINKS = re.compile(r"[|·>»©]|\S+@\S+|https?://|\s{2,}\S|\s/\s")
 ADDRESS = re.compile(r"\S+@\S+|https?://\S+")
@@ -59,20 +59,26 @@ def content_region(lines: list[str], sigma: float = SIGMA) -> tuple[np.ndarray,
     return smooth > smooth.std(), tags
 
 
-def features(line: str, bits: int = BITS) -> np.ndarray:
-    """Buckets of the words, word pairs (also of a word's end and a word) and pairs over a gap of one or two words of a short line."""
+def features(line: str, bits: int = BITS, marked: bool = True) -> np.ndarray:
+    """Buckets of the words, word pairs (also of a word's end and a word) and pairs over a gap of one or two words of a short line.
+
+    marked: also the list mark in front, with which only lines of pages are written.
+    """
     plain = MARK.sub("", line).strip()
     tokens = ["^" + ("a" if plain[:1].islower() else "A"), *TOKENS.findall(plain.lower()), "$"]
     ends = ["~" + t[-1] for t in tokens]  # in some languages a name carries its role at its end
-    names = tokens + [f"{a} {b}" for a, b in zip(ends, tokens[1:])] + [f"{a} . {b}" for a, b in zip(ends, tokens[2:])] + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])] + [f"{a} . {b}" for a, b in zip(tokens, tokens[2:])] + [f"{a} . . {b}" for a, b in zip(tokens, tokens[3:])]
+    mark = MARK.match(line)
+    lead = ["mark " + re.sub(r"\d", "9", mark.group().strip())[:1] if mark else "mark none"] if marked else []
+    names = lead + tokens + [f"{a} {b}" for a, b in zip(ends, tokens[1:])] + [f"{a} . {b}" for a, b in zip(ends, tokens[2:])] + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])] + [f"{a} . {b}" for a, b in zip(tokens, tokens[2:])] + [f"{a} . . {b}" for a, b in zip(tokens, tokens[3:])]
     return np.fromiter((xxhash.xxh3_64_intdigest(n) >> (64 - bits) for n in names), np.int64, len(names))
 
 
-def title_weights(docs: DataFrame, headings: DataFrame, bits: int = BITS, longest: int = TITLE, rounds: int = ROUNDS) -> np.ndarray:
+def title_weights(docs: DataFrame, headings: DataFrame, bits: int = BITS, longest: int = TITLE, rounds: int = ROUNDS, margin: float = MARGIN) -> np.ndarray:
     """Log-odds per feature bucket that a short line is a title, learned from titles and unlabelled lines of pages.
 
     docs: title, text, document_type. Titles of all documents stand on one side, short lines of web pages on the other; those
-    hold titles too, so in each further round the lines that the last round took for titles are left out there.
+    hold titles too, so in each further round the lines that the last round took for titles change sides, and those it was
+    not sure of (within `margin`) are left out. List marks count from the second round on.
     headings: text with headings of articles, further lines of the other side. All rows count; the table's size is fixed,
     and so is what passes the driver.
     """
@@ -80,23 +86,26 @@ def title_weights(docs: DataFrame, headings: DataFrame, bits: int = BITS, longes
     rows = docs.select("title", F.when(F.col("document_type") == "webpage", F.col("text")).alias("text")).unionByName(headings.select(F.lit(None).cast("string").alias("title"), "text"))
     rows = rows.where("title is not null or text is not null")
     weights = np.zeros(1 << bits, np.float32)
-    for _ in range(rounds):
+    for turn in range(rounds):
         token = share_arrays(spark, {"weights": weights})
 
-        def run(batch: pa.RecordBatch, token: str = token) -> pa.RecordBatch:
+        def run(batch: pa.RecordBatch, token: str = token, marked: bool = turn > 0) -> pa.RecordBatch:
             weight = mapped(token, "weights")
             met: tuple[list, list] = ([], [])
             for title, text in zip(*(c.to_pylist() for c in batch.columns)):
                 own = LETTERS.sub("", canon(title or "").lower())
                 if own and len(title) <= longest:
-                    met[1].append(features(canon(title), bits))
+                    met[1].append(features(canon(title), bits, False))
                 for line in (text or "").split("\n"):
                     if 0 < len(line) <= longest and line.strip():
                         line = canon(line)
                         if LETTERS.sub("", line.lower()) != own:
-                            f = features(line, bits)
-                            if weight[f].sum() <= 0:
+                            f = features(line, bits, marked)
+                            score = weight[f].sum()
+                            if not marked or score <= -margin:
                                 met[0].append(f)
+                            elif score > margin:
+                                met[1].append(f)
             sides = [np.unique(np.concatenate(m or [np.empty(0, np.int64)]), return_counts=True) for m in met]
             bucket = np.concatenate([x[0] for x in sides])
             n = np.concatenate([x[1] for x in sides])
