@@ -93,13 +93,13 @@ def title_weights(docs: DataFrame, headings: DataFrame, bits: int = BITS, longes
             weight = mapped(token, "weights")
             met: tuple[list, list] = ([], [])
             for title, text in zip(*(c.to_pylist() for c in batch.columns)):
-                own = LETTERS.sub("", canon(title or "").lower())
+                own = LETTERS.sub("", canon(title or "").casefold())
                 if own and len(title) <= longest:
                     met[1].append(features(canon(title), bits, False))
                 for line in (text or "").split("\n"):
                     if 0 < len(line) <= longest and line.strip():
                         line = canon(line)
-                        if LETTERS.sub("", line.lower()) != own:
+                        if LETTERS.sub("", line.casefold()) != own:
                             f = features(line, bits, marked)
                             score = weight[f].sum()
                             if not marked or score <= -margin:
@@ -123,7 +123,7 @@ def title_weights(docs: DataFrame, headings: DataFrame, bits: int = BITS, longes
 
 def _key(line: str, source: str) -> str:
     """The letters of a line in its consistent form, without the site's name and addresses."""
-    flat = ADDRESS.sub(" ", " ".join(canon(line).lower().split()))
+    flat = ADDRESS.sub(" ", " ".join(canon(line).casefold().split()))
     if source:
         flat = flat.replace(source, " ")
     return LETTERS.sub("", flat)
@@ -144,15 +144,15 @@ def page_lines(docs: DataFrame, weights: np.ndarray, short: int = SHORT) -> Data
         for doc, kind, source, title, text in zip(*(c.to_pylist() for c in batch.columns)):
             lines = text.split("\n")
             page = kind == "webpage"
-            name = " ".join((source or "").lower().split())
-            own = LETTERS.sub("", canon(title or "").lower())
+            name = " ".join((source or "").casefold().split())
+            own = LETTERS.sub("", canon(title or "").casefold())
             article = xxhash.xxh3_64_intdigest(max(lines, key=len)) - 2**63
             region, tags = content_region(lines) if page else (np.ones(len(lines), bool), np.zeros(len(lines)))
             found = []
             for i, line in enumerate(lines):
                 if line.strip() and len(line) <= short:
                     what = "line"
-                    if own and LETTERS.sub("", canon(line).lower()) == own:
+                    if own and LETTERS.sub("", canon(line).casefold()) == own:
                         what = "own"
                     elif page and len(line) <= TITLE and weight[features(canon(line), bits)].sum() > 0:
                         what = "title"
