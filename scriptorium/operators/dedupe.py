@@ -29,21 +29,31 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(each))
 
 
+def _bitmap(grams: Column, half: int) -> Column:
+    """64 of 128 hashed bits of a set."""
+    bit = lambda g: F.when(F.pmod(F.floor(F.pmod(F.xxhash64(g), F.lit(128)) / 64), F.lit(2)) == half, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(g), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(grams, F.lit(0).cast("long"), lambda acc, g: acc.bitwiseOR(bit(g)))
+
+
 def similar_titles(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """document_type, title_a, title_b, similarity: different titles of a type with a trigram Jaccard similarity over the threshold.
 
     Equal titles collapse first. Two sets that similar must share a trigram among their rarest few, so only those prefixes
-    are joined, rarest first by document frequency; no pair is lost, and common trigrams form no large groups. Every
-    candidate is verified on the whole sets. Null titles, and null types, match nothing.
+    are joined, rarest first by document frequency; no pair is lost, and common trigrams form no large groups. Where
+    hashed bitmaps show that the sets can't share enough, a pair is dropped inside the join; every other candidate is verified on the
+    whole sets. Null titles, and null types, match nothing.
     """
     titles = docs.where("title is not null and document_type is not null").select("document_type", "title").distinct()
-    sets = stage(titles.select("document_type", "title", trigrams(F.col("title")).alias("t")).where(F.size("t") > 0), "trigrams")
-    each = sets.select("document_type", "title", F.explode("t").alias("g"), F.size("t").alias("n"))
+    sets = stage(titles.select("document_type", "title", trigrams(F.col("title")).alias("t")).where(F.size("t") > 0).select("*", _bitmap(F.col("t"), 0).alias("b0"), _bitmap(F.col("t"), 1).alias("b1")), "trigrams")
+    each = sets.select("document_type", "title", F.explode("t").alias("g"), F.size("t").alias("n"), "b0", "b1")
     counts = each.groupBy("g").agg(F.count("*").alias("df"))
     w = W.partitionBy("document_type", "title").orderBy("df", "g")
-    prefix = each.join(counts, "g").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("document_type", "title", "g", "n")
+    prefix = each.join(counts, "g").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("document_type", "title", "g", "n", "r", "b0", "b1")
     a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n"))
+    lone = lambda x, y: sum(F.bit_count(F.col(f"{x}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.b{i}")))) for i in (0, 1))
+    needed = F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-9
+    # what two sets share begins with their rarest common trigram, so from there on enough must be left
+    near = (F.least(F.col("a.n") - F.col("a.r"), F.col("b.n") - F.col("b.r")) + 1 >= needed) & (F.col("a.n") - lone("a", "b") >= needed) & (F.col("b.n") - lone("b", "a") >= needed)
     met = a.join(b, (F.col("a.document_type") == F.col("b.document_type")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.title") < F.col("b.title")) & near)
     pairs = met.select("a.document_type", F.col("a.title").alias("title_a"), F.col("b.title").alias("title_b")).distinct()
     one = sets.select("document_type", F.col("title").alias("title_a"), F.col("t").alias("s"))
