@@ -44,7 +44,8 @@ def similar_titles(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     whole sets. Null titles, and null types, match nothing.
     """
     titles = docs.where("title is not null and document_type is not null").select("document_type", "title").distinct()
-    sets = stage(titles.select("document_type", "title", trigrams(F.col("title")).alias("t")).where(F.size("t") > 0).select("*", _bitmap(F.col("t"), 0).alias("b0"), _bitmap(F.col("t"), 1).alias("b1")), "trigrams")
+    sets = stage(titles.select("document_type", "title", trigrams(F.col("title")).alias("t")).where(F.size("t") > 0), "trigrams")
+    sets = stage(sets.select("*", _bitmap(F.col("t"), 0).alias("b0"), _bitmap(F.col("t"), 1).alias("b1")), "bitmaps")
     each = sets.select("document_type", "title", F.explode("t").alias("g"), F.size("t").alias("n"), "b0", "b1")
     counts = each.groupBy("g").agg(F.count("*").alias("df"))
     w = W.partitionBy("document_type", "title").orderBy("df", "g")
