@@ -59,6 +59,13 @@ def contexts(raw: DataFrame) -> DataFrame:
     return raw.where(F.trim("content") != "").select(F.col("id").cast("string").alias("chunk_id"), F.col("document_id").cast("string").alias("document_id"), "content")
 
 
+def serialized(chunks: DataFrame) -> DataFrame:
+    """document_id, blocks: a JSON block for each chunk whose content is not null, in the order of chunk_index, joined by blank lines."""
+    block = F.struct("chunk_index", F.to_json(F.struct(F.col("id").alias("chunk_id"), "content")).alias("j"))
+    rows = chunks.where("content is not null").groupBy("document_id").agg(F.array_sort(F.collect_list(block)).alias("b"))
+    return rows.select("document_id", F.array_join(F.transform("b", lambda x: x["j"]), "\n\n").alias("blocks"))
+
+
 def counter_map(df: DataFrame, column: str) -> DataFrame:
     """One row: map of value -> rows, null values under 'none'. The map is as large as the number of values: for closed vocabularies."""
     counts = df.groupBy(F.coalesce(F.col(column), F.lit("none")).alias("k")).agg(F.count("*").alias("n"))

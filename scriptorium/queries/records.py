@@ -88,9 +88,13 @@ def length_budgets(spark, d):
 
 @query("""SELECT document_id, string_agg(to_json({'chunk_id': id, 'content': content}), chr(10) || chr(10) ORDER BY chunk_index) AS blocks FROM chunks WHERE content IS NOT NULL AND regexp_matches(content, '^[ -~\\n]*$') GROUP BY document_id""")
 def serialized_contexts(spark, d):
-    rows = table(spark, d, "chunks").where("content is not null").where(F.col("content").rlike("^[ -~\\n]*$"))
-    block = F.array_sort(F.collect_list(F.struct("chunk_index", F.to_json(F.struct(F.col("id").alias("chunk_id"), "content")).alias("j"))))
-    return rows.groupBy("document_id").agg(block.alias("b")).select("document_id", F.array_join(F.transform("b", lambda x: x["j"]), "\n\n").alias("blocks"))
+    """Only the chunks of ASCII that its SQL names; `serialized_chunks` takes all."""
+    return R.serialized(table(spark, d, "chunks").where(F.col("content").rlike("^[ -~\\n]*$")))
+
+
+@query("""SELECT document_id, string_agg(to_json({'chunk_id': id, 'content': content}), chr(10) || chr(10) ORDER BY chunk_index, id) AS blocks FROM chunks WHERE content IS NOT NULL GROUP BY document_id""")
+def serialized_chunks(spark, d):
+    return R.serialized(table(spark, d, "chunks"))
 
 
 @query()

@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against plain loops; and edge cases."""
 
 import datetime
+import json
 import random
 
 import numpy as np
@@ -211,3 +212,15 @@ def test_lines(spark):
     assert one(spark, cleaning.page_text(t), t=html) == "a\nb"
     s = one(spark, cleaning.split_sections(t), t="1. Introduction\nhello\n2. Methods used\nbody\nConclusion\nend")
     assert (s.introduction, s.body, s.conclusion, s.status) == ("1. Introduction\nhello", "2. Methods used\nbody", "Conclusion\nend", "exact")
+
+
+def test_every_chunk_is_serialized(spark, sf_dir, tmp_path):
+    from scriptorium import catalog
+
+    texts = ["plain", "한국어 문장", "日本語", "“quoted” café", 'a "b" \\ / \t\r\n\x01\x7f\u2028 🎤', "", None]
+    rows = [(f"c{i}", i % 2, 10 - i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "id string, document_id long, chunk_index int, content string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = {r.document_id: [(b["chunk_id"], b["content"]) for b in map(json.loads, r.blocks.split("\n\n"))] for r in catalog.QUERIES["serialized_chunks"](spark, str(tmp_path)).collect()}
+    assert got == {d: [(c, t) for c, own, _, t in sorted(rows, key=lambda r: r[2]) if own == d and t is not None] for d in (0, 1)}
+    blocks = catalog.QUERIES["serialized_chunks"](spark, sf_dir).selectExpr("sum(size(split(blocks, '\n\n')))").first()[0]
+    assert blocks == spark.read.parquet(f"{sf_dir}/chunks.parquet").where("content is not null").count()
