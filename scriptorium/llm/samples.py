@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "ko", "de", "fr", "es", "ja")
-SAMPLE_DOCS = 1500  # documents in the sample, whatever the size of the corpus
+SAMPLE_DOCS = 1500  # documents in the sample, whatever the size of the corpus; languages have equal shares
 _MARKED = re.compile("[\u0080-\u009f�]|[Â-ô][\u0080-¿]|[Ѐ-ӿ]|[√‚¬][^\\x00-\\x7f]")
 
 
@@ -21,11 +23,14 @@ def label(column: str) -> F.Column:
 def labelled_lines(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, size: int = SAMPLE_DOCS, least: int = 100) -> list[tuple[str, str]]:
     """(label, line) of the lines of `least` or more characters and without marks of a wrong encoding, of at most `size` documents.
 
-    The documents are those of least id hash among all that carry one of the labels, so any run takes the same ones. The bound
-    of the sample is found on ids alone; then the texts below it, and no others, go to the driver.
+    Each language has an equal share of the sample: the different texts of least hash that carry its label, so any run takes the
+    same ones and copies count once. They are found on hashes alone; then their texts, and no others, go to the driver. Lines are
+    distinct and, within a label, in the order of their hashes: whoever takes some from the front has lines of any document.
     """
-    rows = docs.select("doc_id", "text", label("lang").alias("label")).where(F.col("label").isin(*languages) & F.col("text").isNotNull())
-    rows = rows.withColumn("at", F.struct(F.xxhash64("doc_id"), "doc_id"))
-    bound = rows.select("at").orderBy("at").limit(size).agg(F.max("at").alias("at"))
-    taken = rows.join(F.broadcast(bound.withColumnRenamed("at", "bound")), F.col("at") <= F.col("bound")).select("label", "text").collect()  # one row is broadcast
-    return sorted((r[0], line) for r in taken for line in r[1].split("\n") if len(line) >= least and not _MARKED.search(line))
+    rows = docs.select("doc_id", "text", label("lang").alias("label"), F.xxhash64("text").alias("hash")).where(F.col("label").isin(*languages) & F.col("text").isNotNull())
+    texts = rows.groupBy("label", "hash").agg(F.min("doc_id").alias("first"))
+    taken = texts.withColumn("nth", F.row_number().over(W.partitionBy("label").orderBy("hash"))).where(F.col("nth") <= -(-size // len(languages)))  # up to 1,000 a label, a top-k in each task comes first
+    same = (rows["label"] == taken["label"]) & (rows["hash"] == taken["hash"]) & rows["doc_id"].eqNullSafe(taken["first"])
+    found = rows.join(F.broadcast(taken), same, "left_semi").groupBy("label", "hash").agg(F.first("text").alias("text")).collect()  # at most `size` short rows are broadcast
+    lines = {(r["label"], line) for r in found for line in r["text"].split("\n") if len(line) >= least and not _MARKED.search(line)}
+    return sorted(lines, key=lambda x: (x[0], hashlib.blake2b(x[1].encode("utf-8", "surrogatepass"), digest_size=16).digest()))

@@ -1,5 +1,6 @@
 """Edge cases of the pN operators, and their kernels."""
 
+import collections
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import dartminhash, encoding, language, leakage, lexicon, lookalike, pages, pieces, simhash, site_lines
 from scriptorium.llm.kernels import canon, runs, word_hashes
+from scriptorium.llm.samples import labelled_lines
 
 DOC = "doc_id long, source_id int, source string, title string, text string, lang string, document_type string, id string, rep long, bands int, key string, word string"
 
@@ -76,6 +78,28 @@ def test_samples(spark):
     assert simhash.cross_split(df.limit(0)).collect() == []
 
 
+def test_labelled_lines_are_distinct_and_of_the_whole_sample(spark):
+    """A third of the rows are copies of one text, and its line sorts before all others."""
+    copied = "Aaa " + "all the same " * 12
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(400)]
+    own = [f"{'BCDEFGHIJKLMNOPQRSTUVWXYZ'[i % 25]} {' '.join(rng.choices(words, k=30))}" for i in range(600)]
+    rows = [(i, copied if i % 3 == 0 else own[i * 2 // 3]) for i in range(900)]
+    rows += [(0, copied)] * 20 + [(None, copied)] * 20 + [(2000 + i, f"Über {' '.join(rng.choices(words, k=30))}") for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "de" if t[0] == "Ü" else "en") for i, t in rows], "doc_id long, text string, lang string").repartition(7)
+    lines = labelled_lines(docs, ("en", "de"), 400)
+    assert len(lines) == len(set(lines)) and collections.Counter(lang for lang, _ in lines) == {"en": 200, "de": 30}
+    assert lines == labelled_lines(docs.repartition(3), ("en", "de"), 400)
+    everything = labelled_lines(docs, ("en", "de"))
+    assert sorted(everything) == sorted({("en", t) for t in [copied, *own]} | {("de", t) for _, t in rows if t[0] == "Ü"})
+    text = language.train(everything, ("en", "de"), 5000)[0]
+    codes = text.tobytes()
+    used = [t for t in own if language.coded(t).tobytes() in codes]
+    assert len({t[0] for t in used}) > 8 and codes.count(language.coded(copied).tobytes()) <= 1
+    kept = dict(zip(("de", "en"), encoding.train(everything, 5000)))["en"].decode().split("\n")
+    assert len({t[0] for t in kept}) > 8 and len(kept) == len(set(kept))
+
+
 def test_large_item_sets_are_joined(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n"), (2, "nothing")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "x a b c d e f g h i j k l y")], "item_id long, text string")
