@@ -1,7 +1,10 @@
-"""Cleaning of pages and of lines of text, all in built-in functions over arrays of lines."""
+"""Cleaning of pages and of lines of text, in built-in functions over arrays of lines; only entities are decoded in Python."""
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +13,20 @@ from pyspark.sql import functions as F
 NOISE = ("script", "style", "nav", "header", "footer", "aside", "form", "iframe")
 
 
+def escaped(c: Column) -> Column:
+    """Text as it is written in a page."""
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def decoded(c: Column) -> Column:
+    """Text with its entities read once, as HTML 5 has them: &amp;lt; gives &lt;."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(unescape, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(c)
+
+
 def without_noise(html: Column) -> Column:
     """The page without comments and without elements that hold no content."""
     out = F.regexp_replace(html, "(?s)<!--.*?-->", "")
@@ -26,12 +43,12 @@ def scope(html: Column, elements: tuple[str, ...] = ("article", "main", "body"))
 
 def plain_lines(html: Column) -> Column:
     """Text with a line break at every tag; lines are trimmed and empty ones left out."""
-    lines = F.split(F.regexp_replace(html, "<[^>]*>", "\n"), "\n")
+    lines = F.split(decoded(F.regexp_replace(html, "<[^>]*>", "\n")), "\n")
     return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def page_title(html: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    return F.nullif(F.trim(decoded(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
 
 
 def page_text(html: Column) -> Column:

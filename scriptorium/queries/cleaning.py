@@ -13,21 +13,28 @@ _PATTERNS = ["^©", "^[ \\t]*[-*»+][ \\t]", "@"]
 _WIDGETS = ["print", "save", "share", "mail", "chat", "copy", "link", "comments", "menu", "search", "close"]
 
 
-def _pages(spark, d):
-    """Pages made of the documents: the text in an article, among elements without content."""
-    docs = table(spark, d, "documents").where("text is not null and not contains(text, '<') and not contains(text, '>')")
+def _pages(docs):
+    """Pages made of the documents: the escaped text in an article, among elements without content."""
     html = F.concat(
-        F.lit("<html><head><title> "), F.coalesce("title", F.lit("")), F.lit(" </title><script>var a = '<p>no</p>';</script></head><body><nav><a>Menu</a></nav><!-- <p>no</p> --><article><p>"),
-        F.replace(F.col("text"), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></article><footer>Imprint</footer></body></html>"),
+        F.lit("<html><head><title> "), C.escaped(F.coalesce("title", F.lit(""))), F.lit(" </title><script>var a = '<p>no</p>';</script></head><body><nav><a>Menu</a></nav><!-- <p>no</p> --><article><p>"),
+        F.replace(C.escaped(F.col("text")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></article><footer>Imprint</footer></body></html>"),
     )
-    return docs.select("doc_id", html.alias("html"))
+    pages = docs.where("text is not null").select("doc_id", html.alias("html"))
+    return pages.select("doc_id", C.page_title(F.col("html")).alias("title"), C.page_text(F.col("html")).alias("text"))
 
 
 @query("""SELECT doc_id, nullif(trim(title), '') AS title, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text
   FROM documents WHERE text IS NOT NULL AND NOT contains(text, '<') AND NOT contains(text, '>') AND NOT contains(coalesce(title, ''), '<')""")
 def clean_pages(spark, d):
-    pages = _pages(spark, d).select("doc_id", C.page_title(F.col("html")).alias("title"), C.page_text(F.col("html")).alias("text"))
-    return pages.where("not contains(coalesce(title, ''), '<')")
+    """Only the documents without angle brackets that its SQL names; `all_clean_pages` takes all."""
+    docs = table(spark, d, "documents").where("not contains(text, '<') and not contains(text, '>') and not contains(coalesce(title, ''), '<')")
+    return _pages(docs)
+
+
+@query("""SELECT doc_id, nullif(trim(title), '') AS title, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text
+  FROM documents WHERE text IS NOT NULL""")
+def all_clean_pages(spark, d):
+    return _pages(table(spark, d, "documents"))
 
 
 _LINES = "string_split(text, chr(10))"

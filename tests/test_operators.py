@@ -224,3 +224,17 @@ def test_every_chunk_is_serialized(spark, sf_dir, tmp_path):
     assert got == {d: [(c, t) for c, own, _, t in sorted(rows, key=lambda r: r[2]) if own == d and t is not None] for d in (0, 1)}
     blocks = catalog.QUERIES["serialized_chunks"](spark, sf_dir).selectExpr("sum(size(split(blocks, '\n\n')))").first()[0]
     assert blocks == spark.read.parquet(f"{sf_dir}/chunks.parquet").where("content is not null").count()
+
+
+def test_pages_with_entities(spark, tmp_path):
+    from scriptorium import catalog
+
+    t = F.col("t")
+    html = "<html><head><title>R&amp;D &#8212; a &lt; b</title></head><body><p>x &lt;y&gt; &amp;lt; caf&eacute;</p><p>&#x1F3A4; &unknown; AT&T</p></body></html>"
+    assert one(spark, cleaning.page_text(t), t=html) == "x <y> &lt; café\n🎤 &unknown; AT&T"
+    assert one(spark, cleaning.page_title(t), t=html) == "R&D — a < b"
+    assert one(spark, cleaning.page_title(t), t=None) is None and one(spark, cleaning.page_text(t), t=None) is None
+    rows = [(1, "a < b & c", "1 < 2 > 0\n<|endoftext|>\n</p></article>&lt;b&gt; <script>"), (2, None, "plain"), (3, " x ", None), (4, "&amp;", "\n \n&nbsp;")]
+    spark.createDataFrame(rows, "doc_id long, title string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.title, r.text) for r in catalog.QUERIES["all_clean_pages"](spark, str(tmp_path)).collect()}
+    assert got == {1: rows[0][1:], 2: (None, "plain"), 4: ("&amp;", "&nbsp;")}
