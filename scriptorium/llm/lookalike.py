@@ -11,14 +11,14 @@ from scriptorium.llm.kernels import canon, map_slices, two_longs
 
 
 def consistent_text(docs: DataFrame) -> DataFrame:
-    """doc_id, text in the consistent form (see kernels.canon), changed.
+    """doc_id, text in the consistent form (see kernels.canon) to be read: tokens of several possible scripts by context; changed.
 
     Null text stays null and is not changed; empty text stays empty. One narrow pass, no shuffle.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
-        out = [None if t is None else canon(t) for t in texts]
+        out = [None if t is None else canon(t, by_context=True) for t in texts]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(out, pa.string()), pa.array([a != b for a, b in zip(texts, out)], pa.bool_())],
             names=["doc_id", "text", "changed"],
@@ -64,3 +64,17 @@ def lookalike_pairs(docs: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.stored") != F.col("b.stored"))).select(
         F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b")
     )
+
+
+def lookalike_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, group_id, spellings, copies, links: one row per document whose form has several stored spellings.
+
+    group_id is the least doc_id of the form, spellings the number of different stored texts, copies the number of
+    documents of this document's spelling, links that of documents of other spellings. No pairs are made: spellings are counted first
+    (map-side combined, so a text that a third of all rows carry is one row per task), and documents join one row per spelling.
+    """
+    keys = form_keys(docs)
+    spelled = keys.groupBy("k1", "k2", "stored").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
+    forms = spelled.groupBy("k1", "k2").agg(F.count("*").alias("spellings"), F.sum("copies").alias("all"), F.min("first").alias("group_id")).where("spellings > 1")
+    several = spelled.drop("first").join(forms, ["k1", "k2"])
+    return keys.join(several, ["k1", "k2", "stored"]).select("doc_id", "group_id", "spellings", "copies", (F.col("all") - F.col("copies")).alias("links"))

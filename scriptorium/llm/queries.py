@@ -34,8 +34,7 @@ def p1_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p1_counts(spark, sf_dir: str) -> DataFrame:
-    samples = table(spark, sf_dir, "train_balanced")
-    return simhash.overlap_counts(samples, simhash.cross_split(samples))
+    return simhash.overlap_counts(table(spark, sf_dir, "train_balanced"))
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
@@ -47,6 +46,11 @@ def p2_cleaned(spark, sf_dir: str) -> DataFrame:
     return site_lines.without_lines(docs, site_lines.repeated_lines(docs))
 
 
+def p2_spans_cleaned(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return site_lines.without_spans(docs, site_lines.repeated_spans(docs))
+
+
 def p5_found(spark, sf_dir: str) -> DataFrame:
     return language.wrong_labels(table(spark, sf_dir, "documents")).select("doc_id", "lang").distinct()
 
@@ -96,7 +100,11 @@ def p10_consistent(spark, sf_dir: str) -> DataFrame:
     return lookalike.consistent_text(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_cleaned, p3_found, p3_main_text, p4_found, p4_groups, p5_found, p5_lines, p6_found, p6_pieces, p7_found, p7_restored, p8_ids, p9_found, p9_cleaned, p10_found, p10_consistent)}
+def p10_groups(spark, sf_dir: str) -> DataFrame:
+    return lookalike.lookalike_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_cleaned, p2_spans_cleaned, p3_found, p3_main_text, p4_found, p4_groups, p5_found, p5_lines, p6_found, p6_pieces, p7_found, p7_restored, p8_ids, p9_found, p9_cleaned, p10_found, p10_consistent, p10_groups)}
 SQL: dict[str, str] = {
     "p6_found": """
         SELECT 'chunk' AS item_kind, id AS item_id FROM chunks WHERE length(content) > 3000

@@ -7,12 +7,13 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.llm.kernels import U64, list_array, map_slices, mix
 from scriptorium.storage import stage
 
-WINDOW, MASK, LEAST_DOCS = 8, 31, 5  # characters in the rolling hash; one cut in MASK + 1 places; documents of a source
+WINDOW, MASK, LEAST_DOCS, LEAST_CHARS = 8, 31, 5, 60  # characters in the rolling hash; one cut in MASK + 1 places; documents of a source; letters of a span
 _GOLD = U64(0x9E3779B97F4A7C15)
 _kinds: np.ndarray | None = None
 
@@ -30,19 +31,23 @@ def kinds() -> np.ndarray:
     return _kinds
 
 
-def line_chunks(docs: DataFrame, window: int = WINDOW, mask: int = MASK) -> DataFrame:
-    """doc_id, source_id, line_no, key, chunks, firsts - one row per line that has a letter.
+def line_chunks(docs: DataFrame, window: int = WINDOW, mask: int = MASK, places: bool = False) -> DataFrame:
+    """doc_id, source_id, line_no, key, chunks, firsts - one row per line that has a letter; with `places` also starts, ends, sizes.
 
-    The characters of the key of a line stream through a rolling hash over `window` characters; where its low bits are
-    zero the line is cut, so equal passages give equal chunks wherever they stand. A line's end ends its last
-    chunk. key is the hash over the line's chunks; firsts marks the first place of each chunk in the document.
-    Documents with null text or null source have no rows.
+    The characters of the key of a document stream through a rolling hash over `window` characters; where its low bits are
+    zero the text is cut, so equal passages give equal chunks wherever they stand. A line break is a cut too, as the
+    shortest lines have two letters, and no window reaches over it. key is the hash over the line's chunks; firsts marks the first
+    place of each chunk in the document; starts and ends are the chunks' places in the line, sizes their characters without
+    white space, digits, punctuation and symbols. Documents with null text or null source have no rows.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, sources, texts = (c.to_pylist() for c in batch.columns)
         counts = np.array([t.count("\n") + 1 for t in texts])
-        points = np.frombuffer("\n".join(t.lower() for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lowered = [t.lower() for t in texts]
+        if places:  # a letter that becomes two would shift them
+            lowered = [low if len(low) == len(t) else "".join(c if len(c.lower()) > 1 else c.lower() for c in t) for low, t in zip(lowered, texts)]
+        points = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = kinds()[points]
         line_of = np.cumsum(points == 10)
         kept = kind > 0
@@ -79,6 +84,14 @@ def line_chunks(docs: DataFrame, window: int = WINDOW, mask: int = MASK) -> Data
         if not len(lines):
             return None
         doc = doc_of_line[lines]
+        more = []
+        if places:
+            where = np.flatnonzero(kept)
+            begin = np.r_[0, np.flatnonzero(points == 10) + 1]
+            first_at, last_at = where[starts], where[np.r_[starts[1:], len(at)] - 1] + 1
+            sizes = np.diff(np.r_[starts, len(at)])
+            own = begin[line[starts]]
+            more = [list_array(x[chunk_ok].astype(np.int32), n_chunks, pa.int32()) for x in (first_at - own, last_at - own, sizes)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.array(ids)[doc], pa.int64()),
@@ -87,12 +100,13 @@ def line_chunks(docs: DataFrame, window: int = WINDOW, mask: int = MASK) -> Data
                 pa.array(key.view(np.int64), pa.int64()),
                 list_array(chunk.view(np.int64), n_chunks, pa.int64()),
                 list_array(_first(doc_of_line[chunk_line], chunk), n_chunks, pa.bool_()),
+                *more,
             ],
-            names=["doc_id", "source_id", "line_no", "key", "chunks", "firsts"],
+            names=["doc_id", "source_id", "line_no", "key", "chunks", "firsts", *(["starts", "ends", "sizes"] if places else [])],
         )
 
     rows = docs.select("doc_id", "source_id", "text").where("text is not null and source_id is not null")
-    return map_slices(rows, run, "doc_id long, source_id int, line_no int, key long, chunks array<long>, firsts array<boolean>")
+    return map_slices(rows, run, "doc_id long, source_id int, line_no int, key long, chunks array<long>, firsts array<boolean>" + (", starts array<int>, ends array<int>, sizes array<int>" if places else ""))
 
 
 def _first(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -103,24 +117,65 @@ def _first(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
+def _common(chunks: DataFrame, least_docs: int) -> DataFrame:
+    """source_id, chunk that at least least_docs documents of the source hold; a chunk that a third of all documents hold is one partial row per task."""
+    return chunks.groupBy("source_id", "chunk").agg(F.count_if("first").alias("docs")).where(F.col("docs") >= least_docs).select("source_id", "chunk")
+
+
+def _exploded(lines: DataFrame, *kept: str) -> DataFrame:
+    return lines.select(*kept, "source_id", F.explode(F.arrays_zip("chunks", "firsts")).alias("c")).select(*kept, "source_id", F.col("c.chunks").alias("chunk"), F.col("c.firsts").alias("first"))
+
+
 def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, **params) -> DataFrame:
     """doc_id, line_no, source_id of every line found in at least least_docs different documents of its source.
 
-    Documents are counted per source and chunk with map-side partial sums (a chunk that a third of all documents
-    carry is one partial row per task); lines all of whose chunks reach the number are candidates, and the exact count of
-    their whole keys decides. Joins bring rows of hot chunks to a side with one row per chunk, which the
+    Documents are counted per source and chunk. A line enters by its chunk of least hash, which is the same wherever the line stands: if
+    that is repeated the line is a candidate, and the exact count of documents by the hash over all its chunks decides. So all chunks are
+    counted, but only one row per line is joined; that side may have hot chunks, the other has one row per chunk, which the
     adaptive skew join splits. A row that is repeated under one id is one document.
     """
     lines = stage(line_chunks(docs, **params), "lines")
-    chunks = lines.select("doc_id", "line_no", "source_id", F.explode(F.arrays_zip("chunks", "firsts")).alias("c"), F.size("chunks").alias("n")).select("doc_id", "line_no", "source_id", "n", F.col("c.chunks").alias("chunk"), F.col("c.firsts").alias("first"))
-    common = chunks.groupBy("source_id", "chunk").agg(F.count_if("first").alias("docs")).where(F.col("docs") >= least_docs).select("source_id", "chunk")
-    whole = chunks.drop("first").join(common, ["source_id", "chunk"], "left_semi").groupBy("doc_id", "line_no").agg(F.count("*").alias("met"), F.first("n").alias("n")).where("met >= n").select("doc_id", "line_no")
-    candidates = lines.select("doc_id", "line_no", "source_id", "key").join(whole, ["doc_id", "line_no"], "left_semi")
-    candidates = stage(candidates, "candidate-lines")
+    common = _common(_exploded(lines), least_docs)
+    entry = lines.select("doc_id", "line_no", "source_id", "key", F.array_min("chunks").alias("chunk"))
+    candidates = stage(entry.join(common, ["source_id", "chunk"], "left_semi").drop("chunk"), "candidate-lines")
     sure = candidates.groupBy("source_id", "key").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= least_docs).select("source_id", "key")
     return candidates.join(sure, ["source_id", "key"], "left_semi").select("doc_id", "line_no", "source_id").distinct()
 
 
+def repeated_spans(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS, **params) -> DataFrame:
+    """doc_id, line_no, first_char, last_char (places in the line), docs: maximal runs of repeated chunks of a line that as a whole stand in at least least_docs documents of the source.
+
+    This also finds a notice that is glued to other text: its chunks but the first and the last, whose ends lie in the other text, are the
+    same everywhere. Runs under least_chars letters are too common in any language and are left. Joins as in repeated_lines, but with
+    all chunks; a run is put together by its line, and counted by its hash.
+    """
+    lines = stage(line_chunks(docs, places=True, **params), "lines")
+    common = _common(_exploded(lines), least_docs).withColumn("common", F.lit(True))
+    placed = lines.select("doc_id", "line_no", "source_id", F.explode(F.arrays_zip("chunks", "starts", "ends", "sizes")).alias("c")).select("doc_id", "line_no", "source_id", F.col("c.chunks").alias("chunk"), F.col("c.starts").alias("start"), F.col("c.ends").alias("end"), F.col("c.sizes").alias("size")).distinct()
+    met = placed.join(common, ["source_id", "chunk"], "left")
+    by_line = W.partitionBy("doc_id", "source_id", "line_no").orderBy("start")
+    runs = met.withColumn("run", F.count_if(F.col("common").isNull()).over(by_line)).where("common").groupBy("doc_id", "source_id", "line_no", "run").agg(
+        F.min("start").alias("first_char"), F.max("end").alias("last_char"), F.sum("size").alias("size"), F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("start", "chunk"))), lambda c: c["chunk"])).alias("hash")
+    )
+    runs = stage(runs.where(F.col("size") >= least_chars), "runs")
+    counted = runs.groupBy("source_id", "hash").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= least_docs)
+    return runs.join(counted, ["source_id", "hash"]).select("doc_id", "line_no", "first_char", "last_char", "docs")
+
+
+def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, text, removed: every text without the found spans, all else as it is; null stays null."""
+    cut = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("line_no", "first_char", "last_char"))).alias("cut"))
+
+    def rest(line, i):
+        own = F.filter("cut", lambda c: c["line_no"] == i + 1)
+        end = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
+        fold = F.aggregate(own, end, lambda acc, c: F.struct(F.concat(acc["kept"], F.substring(line, acc["at"] + 1, c["first_char"] - acc["at"])).alias("kept"), c["last_char"].alias("at")))
+        return F.concat(fold["kept"], F.substring(line, fold["at"] + 1, F.length(line)))
+
+    kept = F.array_join(F.transform(F.split("text", "\n", -1), rest), "\n")
+    return docs.select("doc_id", "text").join(cut, "doc_id", "left").select("doc_id", F.when(F.col("cut").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size("cut"), F.lit(0)).alias("removed"))
+
+
 def without_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, text, removed: every text without its found lines, all other lines as they are; null stays null."""
     cut = found.groupBy("doc_id").agg(F.collect_set("line_no").alias("cut"))
