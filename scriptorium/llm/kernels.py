@@ -21,13 +21,13 @@ from scriptorium.storage import ship
 SLICE = 512  # rows handled at once inside a task; bounds the memory of the Python worker
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow over slices of at most SLICE rows."""
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = SLICE) -> DataFrame:
+    """mapInArrow over slices of at most `rows` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                out = fn(batch.slice(start, SLICE))
+            for start in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(start, rows))
                 if out is not None and out.num_rows:
                     yield out
 
