@@ -1,116 +1,186 @@
 """Problem 7: text that went through a wrong character encoding, by minimum description length.
 
-A place is suspicious when its characters look like bytes of one encoding read in another. Every chain of re-encodings
-that a suspicious line admits gives a candidate; each is compressed with a zstandard dictionary per language, and the
-candidate of least compressed size plus chain cost wins. If that is the stored text, the line stays unchanged.
+Text goes wrong when bytes written in one encoding are read in another. A table of code pages gives the ways back; every chain of
+them that a line admits gives candidates, until no further step back makes the description shorter. Each candidate is
+compressed with a zstandard dictionary per language, and the one of least compressed size plus chain cost wins. If
+that is the stored text, the line stays unchanged.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from functools import cache
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from scriptorium.llm.kernels import map_slices
+from scriptorium.llm.kernels import SPACE_KINDS, map_slices
 from scriptorium.llm.samples import LANGUAGES, SAMPLE_DOCS, labelled_lines
 
-DICTIONARY_CHARS, STEP_COST, DEPTH = 24_000, 2, 2
+DICTIONARY_CHARS, STEP_COST, NEW_CHARACTER_COST, WIDTH = 24_000, 3, 4, 3
 
+# Code pages of one byte a character and of several in which bytes may have been read, and by language the encodings beside UTF-8 in which they may have been written.
+SINGLE = ("cp1252", "cp1251", "cp1250", "iso8859_2", "koi8_r", "mac_roman", "cp437", "cp850")
+DOUBLE = ("cp949", "cp932", "gbk", "big5")
+WRITTEN = {"ko": ("cp949",), "ja": ("cp932", "euc_jp"), "zh": ("gbk", "big5"), "ru": ("cp1251", "koi8_r"), "uk": ("cp1251", "koi8_r")}
+_UTF8 = r"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}"
+# Whole runs of bytes that are UTF-8; a lone sequence of two bytes is one letter of two of these pages and counts only beside a Latin letter.
+_UTF8_RUNS = re.compile(rf"(?<![\x80-\xff])(?:(?:{_UTF8})*(?:[\xe0-\xf4][\x80-\xbf]{{2,3}}|(?:{_UTF8}){{2}})(?:{_UTF8})*|(?<=[A-Za-z])[\xc2-\xdf][\x80-\xbf]|[\xc2-\xdf][\x80-\xbf](?=[A-Za-z]))(?![\x80-\xff])".encode("latin-1"))
 
-def _single_bytes(codec: str) -> dict[int, str]:
-    """Character -> the Latin-1 character of its byte; bytes without a character in the code page stand for themselves."""
-    out = {}
-    for b in range(256):
+
+@cache
+def _page(codec: str) -> dict[int, int]:
+    """Character -> byte of a code page; bytes without a character stand for themselves, as do the characters of Latin-1 that the page lacks."""
+    out = {b: b for b in range(128, 256)} if codec == "cp1252" else {}
+    for b in range(128, 256):
         try:
-            out[ord(bytes([b]).decode(codec))] = chr(b)
+            out[ord(bytes([b]).decode(codec))] = b
         except UnicodeDecodeError:
-            out[b] = chr(b)
+            out[b] = b
     return out
 
 
-# Code pages in which bytes were read, and encodings in which they had been written.
-WESTERN, CYRILLIC, MAC = _single_bytes("cp1252"), _single_bytes("cp1251"), _single_bytes("mac_roman")
-STEPS = (("western", "utf-8"), ("cyrillic", "utf-8"), ("mac", "utf-8"), ("korean", "utf-8"), ("western", "cp949"), ("western", "cp932"))
-_PAGES = {"western": WESTERN, "cyrillic": CYRILLIC, "mac": MAC}
-_HIGH = "\u0080-ÿŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™"
-SUSPICIOUS = re.compile(
-    "[\u0080-\u009f�]"  # control characters and replacement characters
-    f"|[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]"  # UTF-8 read as Western
-    "|[А-ф][^\\x00-\\x7fА-я]"  # UTF-8 read as Cyrillic
-    "|[√¬‚„ÂÍÎÏÌ][^\\x00-\\x7f]"  # UTF-8 read as Mac Roman
-    f"|[¡-þ]{{4}}|[{_HIGH}]{{2}}.?[{_HIGH}]{{2}}"  # Korean or Japanese read as Western
-    "|[가-힣][一-鿿豈-﫿]|[一-鿿豈-﫿][가-힣]"  # UTF-8 read as Korean
-)
-_RUN = re.compile("[^\\x00-\\x7f]+")
+@cache
+def _characters(codec: str) -> frozenset[str]:
+    return frozenset(map(chr, _page(codec)))
+
+
+@cache
+def _passages(codec: str) -> re.Pattern:
+    """Passages whose characters are, byte by byte of the code page, valid UTF-8."""
+    show: dict[int, str] = {}
+    for char, byte in _page(codec).items():
+        show[byte] = show.get(byte, "") + re.escape(chr(char))
+    tail = "[" + "".join(show.get(b, "") for b in range(0x80, 0xC0)) + "]"
+    two, three, four = ("[" + "".join(show.get(b, "") for b in r) + "]" for r in (range(0xC2, 0xE0), range(0xE0, 0xF0), range(0xF0, 0xF5)))
+    return re.compile(f"(?:{two}{tail}|{three}{tail}{{2}}|{four}{tail}{{3}})+")
+
+
+@cache
+def _ends(codec: str) -> tuple[frozenset[str], frozenset[str]]:
+    """The characters of the page for bytes that begin a UTF-8 sequence and for those that go on with one."""
+    page = _page(codec).items()
+    return frozenset(chr(c) for c, b in page if 0xC2 <= b <= 0xF4), frozenset(chr(c) for c, b in page if 0x80 <= b < 0xC0)
+
 
+_PAIR = re.compile("[^\\x00-\\x7f]{2}")
+_HAN, _HANGUL = re.compile("[㐀-鿿豈-﫿｡-ﾟ]"), re.compile("[가-힣]")
 
-def _bytes(text: str, read_as: str) -> bytes | None:
+
+def _raw(text: str, codec: str) -> bytes | None:
+    """The bytes that were read as this text; None if it holds a character that the page lacks."""
+    if codec in DOUBLE:
+        try:
+            return text.encode(codec)
+        except UnicodeEncodeError:
+            return None
     try:
-        if read_as == "korean":
-            return text.encode("cp949")
-        return text.translate(_PAGES[read_as]).encode("latin-1")
+        return text.translate(_page(codec)).encode("latin-1")
     except UnicodeEncodeError:
         return None
 
 
-def _redo(text: str, step: tuple[str, str]) -> str | None:
-    raw = _bytes(text, step[0])
-    if raw is None:
-        return None
+def _utf8_read_as(text: str, codec: str) -> str | None:
+    """The text with every passage undone that is UTF-8 read in the code page; None if there is none."""
+    if codec in DOUBLE:
+        raw = text.encode(codec, "replace")
+        if not _UTF8_RUNS.search(raw):
+            return None
+        try:
+            return raw.decode("utf-8")
+        except UnicodeDecodeError:
+            return re.sub("[^\x00-\x7f]+", lambda m: _whole_run(m.group(), codec), text)
+
+    def undo(m: re.Match) -> str:
+        try:
+            return _raw(m.group(), codec).decode("utf-8")
+        except UnicodeDecodeError:  # overlong forms and surrogates
+            return m.group()
+
+    return _passages(codec).sub(undo, text)
+
+
+def _whole_run(run: str, codec: str) -> str:
+    raw = _raw(run, codec)
     try:
-        return raw.decode(step[1])
+        return raw.decode("utf-8") if raw is not None else run
     except UnicodeDecodeError:
-        return None
+        return run
+
 
+def steps_back(text: str, written: tuple[str, ...], known: frozenset[str]) -> list[tuple[str, tuple[str, str]]]:
+    """(earlier text, step) for every way back: UTF-8 in any page, and, where the text has characters that no language of the collection uses, the encodings of its languages.
 
-def _redo_runs(text: str, step: tuple[str, str]) -> str | None:
-    out = _RUN.sub(lambda m: _redo(m.group(), step) or m.group(), text)
-    return out if out != text else None
-
-
-def candidates(line: str, depth: int = DEPTH) -> list[tuple[str, tuple]]:
-    """(text, chain) of every chain of at most depth steps, applied to the whole line or to its runs beyond ASCII."""
-    out, last = [], [(line, ())]
-    for _ in range(depth):
-        new = []
-        for text, chain in last:
-            if text.isascii():
-                continue
-            for step in chain[-1:] or STEPS:  # text goes wrong again in the way it went wrong before
-                whole = _redo(text, step)
-                ways = [whole] if whole is not None else [_redo_runs(text, step)] if step[1] == "utf-8" else []
-                new += [(w, (*chain, step)) for w in ways if w is not None and w != text]
-        out += new
-        last = new
+    A page is tried only if the text has the characters that any passage garbled by it must hold.
+    """
+    out = []
+    beyond = {c for c in set(text) if c > "\x7f"}
+    for codec in SINGLE:
+        first, later = _ends(codec)
+        if not beyond.isdisjoint(first) and not beyond.isdisjoint(later) and _PAIR.search(text) and _passages(codec).search(text):
+            out.append((_utf8_read_as(text, codec), (codec, "utf-8")))
+    asian = max(beyond, default="") >= "\u3400"
+    for codec in () if not asian else DOUBLE if _HAN.search(text) else DOUBLE[:1] if _HANGUL.search(text) else ():
+        was = _utf8_read_as(text, codec)
+        if was is not None:
+            out.append((was, (codec, "utf-8")))
+    if not known.issuperset(beyond):
+        for codec in SINGLE:
+            if beyond.issubset(_characters(codec)):
+                raw = _raw(text, codec)
+                for other in written:
+                    if other != codec:
+                        try:
+                            out.append((raw.decode(other), (codec, other)))
+                        except UnicodeDecodeError:
+                            pass
     return out
 
 
 class Compressors:
-    def __init__(self, dictionaries: list[bytes]):
+    """One compressor per dictionary; `best` chooses among the candidates of a line."""
+
+    def __init__(self, dictionaries: list[bytes], languages: tuple[str, ...] = LANGUAGES):
         self.each = []
         for d in dictionaries:
             shared = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             shared.precompute_compress(level=3)
             self.each.append(zstandard.ZstdCompressor(dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False))
         self.each = self.each or [zstandard.ZstdCompressor(level=3)]
+        self.written = tuple(dict.fromkeys(x for lang in languages for x in WRITTEN.get(lang, ())))
+        self.known = frozenset(SPACE_KINDS).union(c for d in dictionaries for c in d.decode("utf-8", "replace") if c > "\x7f")
 
     def size(self, text: str) -> int:
+        """Bytes of the shortest description: compressed, and some more for each character that no sample has."""
         data = text.encode("utf-8", "surrogatepass")
-        return min(len(c.compress(data)) for c in self.each)
+        return min(len(c.compress(data)) for c in self.each) + NEW_CHARACTER_COST * len({c for c in set(text) if c > "\x7f"} - self.known)
+
+    def best(self, line: str, step_cost: int = STEP_COST, width: int = WIDTH) -> tuple[str, tuple]:
+        """The text and chain of least description length; (line, ()) if no chain is shorter.
 
-    def best(self, line: str, step_cost: int = STEP_COST) -> tuple[str, tuple]:
-        """The text and chain of least description length; (line, ()) if no chain is shorter."""
-        found = candidates(line)
-        if not found:
+        Chains have any length: while a further step back shortens the description, the `width` shortest go on. Every step also
+        shortens the text in UTF-8, so a chain ends, and no text is met twice.
+        """
+        if line.isascii() or not (found := steps_back(line, self.written, self.known)):
             return line, ()
-        least, best = self.size(line), (line, ())
-        for text, chain in found:
-            cost = self.size(text) + step_cost * len(chain)
-            if cost < least:
-                least, best = cost, (text, chain)
+        least = self.size(line)
+        best, seen, last = (line, ()), {line}, [(least, line, (), found)]
+        while last:
+            new = []
+            for cost, text, chain, found in last:
+                room = len(text.encode("utf-8", "surrogatepass"))
+                for was, step in found:
+                    if was not in seen and "\x00" not in was and len(was.encode("utf-8", "surrogatepass")) < room:
+                        seen.add(was)
+                        after = self.size(was) + step_cost * (len(chain) + 1)
+                        if after < cost:
+                            new.append((after, was, (*chain, step)))
+            new.sort(key=lambda x: x[0])
+            if new and new[0][0] < least:
+                least, best = new[0][0], new[0][1:]
+            last = [(*x, steps_back(x[1], self.written, self.known)) for x in new[:width] if not x[1].isascii()]
         return best
 
 
@@ -126,15 +196,15 @@ def train(lines: list[tuple[str, str]], chars: int = DICTIONARY_CHARS) -> list[b
 class Repairer:
     """Kept by a Python worker for one set of dictionaries."""
 
-    def __init__(self, dictionaries: list[bytes]):
-        self.compressors = Compressors(dictionaries)
+    def __init__(self, dictionaries: list[bytes], languages: tuple[str, ...] = LANGUAGES):
+        self.compressors = Compressors(dictionaries, languages)
 
     def line(self, line: str) -> tuple[str, tuple]:
-        return self.compressors.best(line) if SUSPICIOUS.search(line) else (line, ())
+        return (line, ()) if line.isascii() else self.compressors.best(line)
 
     def field(self, text: str) -> tuple[str, str, bool] | None:
         """(text with restorable lines restored, chains, whether all places were restored); None if nothing is garbled."""
-        if text.isascii() or not SUSPICIOUS.search(text):
+        if text.isascii():
             return None
         lines, chains, lost = [], [], "�" in text
         for line in text.split("\n"):
@@ -184,9 +254,9 @@ def readable(fix: Repairer, line: str) -> str:
     fixed, _ = fix.line(line)
     if "�" in fixed:
         rest = fixed.replace("�", "")
-        raw = _bytes("".join(c for c in rest if _bytes(c, "korean") is not None), "korean")
-        read = raw.decode("utf-8", "ignore") if raw else ""
         beyond = lambda s: sum(not c.isascii() for c in s)
-        if beyond(read) >= 0.2 * beyond(rest) and fix.compressors.size(read) < 0.8 * fix.compressors.size(rest):
-            return read
+        for codec in DOUBLE:
+            read = rest.encode(codec, "ignore").decode("utf-8", "ignore")
+            if beyond(read) >= 0.2 * beyond(rest) and fix.compressors.size(read) < 0.8 * fix.compressors.size(rest):
+                return read
     return fixed

@@ -60,7 +60,8 @@ GREEK_LIKE = dict(zip("οναριΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovapiABEZHIKMNO
 ZERO_WIDTH = re.compile("[\u00ad\u034f\u061c\u180e\u200b\u200c\u200e\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff]+")
 EMOJI = "\u2600-\u27bf\ufe0f\U0001f000-\U0001faff"
 JOINER = re.compile(f"(?<![{EMOJI}])\u200d|\u200d(?![{EMOJI}])")  # between emoji a joiner changes the picture
-SPACES = re.compile("[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
+SPACE_KINDS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+SPACES = re.compile(f"[{SPACE_KINDS}]")
 HYPHENS = re.compile("[\u2010\u2011]")
 # Forms of plain letters - ligatures, digraphs, letters as symbols, Roman numerals, radicals, full and half width, mathematical.
 _FORMS = "\u0132\u0133\u01c4-\u01cc\u01f1-\u01f3\u2102\u210a-\u2115\u2119-\u211d\u2124\u2128\u212a-\u212d\u212f-\u2134\u2139\u2160-\u217f\u2f00-\u2fd5\u3131-\u318e\ufb00-\ufb06\ufb13-\ufb17\uff01-\uffdc\uffe0-\uffee\U0001d400-\U0001d7ff"

@@ -12,6 +12,7 @@ import re
 import tempfile
 import uuid
 from collections import Counter
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -46,21 +47,39 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word: the adjacent pair of least rank, the leftmost of equals, is joined until no pair is in the vocabulary."""
+    """Ids of one word: the adjacent pair of least rank, the leftmost of equals, is joined until no pair is in the vocabulary.
+
+    Pairs wait in a heap, and parts know their neighbours, so a word of n bytes takes n log n steps.
+    """
     if word in ranks:
         return [ranks[word]]
-    rank, none = ranks.get, 1 << 60
-    parts = [word[i : i + 1] for i in range(len(word))]
-    pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
-    while pairs and (least := min(pairs)) < none:
-        i = pairs.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = rank(parts[i] + parts[i + 1], none)
-        if i:
-            pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
-    return [ranks[p] for p in parts]
+    rank = ranks.get
+    size = len(word)
+    ends = list(range(1, size + 1))  # of the part that begins there; 0 where none begins any more
+    before = list(range(-1, size - 1))
+    heap = [r << 32 | i for i in range(size - 1) if (r := rank(word[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        top = heappop(heap)
+        i = top & 0xFFFFFFFF
+        middle = ends[i]
+        if not middle or middle == size:
+            continue
+        end = ends[middle]
+        if rank(word[i:end]) != top >> 32:  # an entry of a pair that has changed since
+            continue
+        ends[i], ends[middle] = end, 0
+        if end < size:
+            before[end] = i
+            if (r := rank(word[i : ends[end]])) is not None:
+                heappush(heap, r << 32 | i)
+        if i and (r := rank(word[before[i] : end])) is not None:
+            heappush(heap, r << 32 | before[i])
+    out, i = [], 0
+    while i < size:
+        out.append(ranks[word[i : ends[i]]])
+        i = ends[i]
+    return out
 
 
 # --- the automaton ---------------------------------------------------------------------------------------------------
@@ -201,9 +220,9 @@ def frequent_words(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> D
 class _Encoder:
     """What a Python worker keeps: the mapped lexicon, the ranks, and the pieces met so far (at most a million)."""
 
-    def __init__(self, token: str, vocabulary_path: str):
+    def __init__(self, token: str, ranks: dict[bytes, int]):
         self.lexicon = {name: mapped(token, name) for name in ("arc", "target", "number", "final", "offsets", "ids")}
-        self.ranks = read_ranks(vocabulary_path)
+        self.ranks = ranks
         self.split = regex.compile(PATTERN).findall
         self.clear()
 
@@ -253,6 +272,15 @@ class _Encoder:
 
 
 _encoders: dict[str, _Encoder] = {}
+_ranks: dict[str, dict[bytes, int]] = {}
+
+
+def _shared_ranks(name: str) -> dict[bytes, int]:
+    """The vocabulary of a file that Spark sent, read once in each Python worker."""
+    if name not in _ranks:
+        _ranks.clear()
+        _ranks[name] = read_ranks(SparkFiles.get(name))
+    return _ranks[name]
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = WORDS) -> DataFrame:
@@ -266,7 +294,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = WORDS) ->
     spark.sparkContext.addFile(str(shared))
 
     def merged(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ranks = read_ranks(SparkFiles.get(shared.name))
+        ranks = _shared_ranks(shared.name)
         words = batch.column(0).to_pylist()
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([merge(w.encode(), ranks) for w in words], pa.list_(pa.int32()))], names=["word", "ids"])
 
@@ -276,7 +304,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = WORDS) ->
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if token not in _encoders:
             _encoders.clear()
-            _encoders[token] = _Encoder(token, SparkFiles.get(shared.name))
+            _encoders[token] = _Encoder(token, _shared_ranks(shared.name))
         return pa.RecordBatch.from_arrays([batch.column(0), _encoders[token].encode(batch.column(1).to_pylist())], names=["doc_id", "ids"])
 
     return map_slices(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
