@@ -152,10 +152,13 @@ class Compressors:
         self.written = tuple(dict.fromkeys(x for lang in languages for x in WRITTEN.get(lang, ())))
         self.known = frozenset(SPACE_KINDS).union(c for d in dictionaries for c in d.decode("utf-8", "replace") if c > "\x7f")
 
+    def compressed(self, text: str) -> int:
+        data = text.encode("utf-8", "surrogatepass")
+        return min(len(c.compress(data)) for c in self.each)
+
     def size(self, text: str) -> int:
         """Bytes of the shortest description: compressed, and some more for each character that no sample has."""
-        data = text.encode("utf-8", "surrogatepass")
-        return min(len(c.compress(data)) for c in self.each) + NEW_CHARACTER_COST * len({c for c in set(text) if c > "\x7f"} - self.known)
+        return self.compressed(text) + NEW_CHARACTER_COST * len({c for c in set(text) if c > "\x7f"} - self.known)
 
     def best(self, line: str, step_cost: int = STEP_COST, width: int = WIDTH) -> tuple[str, tuple]:
         """The text and chain of least description length; (line, ()) if no chain is shorter.
@@ -220,10 +223,10 @@ class Repairer:
 _repairers: dict[str, Repairer] = {}
 
 
-def repairer(token: str, shared) -> Repairer:
+def repairer(token: str, shared, languages: tuple[str, ...] = LANGUAGES) -> Repairer:
     if token not in _repairers:
         _repairers.clear()
-        _repairers[token] = Repairer(shared.value)
+        _repairers[token] = Repairer(shared.value, languages)
     return _repairers[token]
 
 
@@ -251,12 +254,12 @@ def garbled_fields(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, samp
 
 def readable(fix: Repairer, line: str) -> str:
     """The restored line; of a line with losses, what can be read of it: enough to tell its language."""
-    fixed, _ = fix.line(line)
+    fixed = line if "�" in line else fix.line(line)[0]
     if "�" in fixed:
         rest = fixed.replace("�", "")
         beyond = lambda s: sum(not c.isascii() for c in s)
         for codec in DOUBLE:
             read = rest.encode(codec, "ignore").decode("utf-8", "ignore")
-            if beyond(read) >= 0.2 * beyond(rest) and fix.compressors.size(read) < 0.8 * fix.compressors.size(rest):
+            if beyond(read) >= 0.2 * beyond(rest) and fix.compressors.compressed(read) < 0.8 * fix.compressors.compressed(rest):
                 return read
     return fixed

@@ -122,8 +122,9 @@ class Letters:
         self.plain: dict[str, str] = {}
         for members in classes:
             spelled: dict[str, str] = {}
-            for letter in members:
-                spelled.setdefault(script(letter), letter)
+            for letter in members:  # a phonetic letter is the Latin spelling of none but a plain Latin letter
+                name = script(letter)
+                spelled.setdefault("phonetic" if name == "latin" and not members[0].isascii() else name, letter)
             for letter in members:
                 self.ways[letter] = spelled
                 self.plain[letter] = spelled.get("latin", members[0])
@@ -170,7 +171,7 @@ def _one_script(text: str, by_context: bool) -> str:
         if not common:
             spelled = "".join(table.plain.get(c, c) for c in flat)
         else:
-            name = max(sorted(common), key=lambda s: (firm.get(s, 0), s == "latin"))
+            name = max(sorted(common), key=lambda s: (firm.get(s, 0), s == "latin", s == "cyrillic", s == "greek"))
             spelled = "".join(table.ways[c][name] if c in table.ways else c for c in flat)
         return unicodedata.normalize("NFC", spelled)
 

@@ -59,6 +59,10 @@ def p5_lines(spark, sf_dir: str) -> DataFrame:
     return language.line_languages(table(spark, sf_dir, "documents"))
 
 
+def p5_documents(spark, sf_dir: str) -> DataFrame:
+    return language.document_languages(table(spark, sf_dir, "documents"))
+
+
 def _items(spark, sf_dir: str) -> DataFrame:
     return pieces.project_items(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "papers"))
 
@@ -104,7 +108,7 @@ def p10_groups(spark, sf_dir: str) -> DataFrame:
     return lookalike.lookalike_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_cleaned, p2_spans_cleaned, p3_found, p3_main_text, p4_found, p4_groups, p5_found, p5_lines, p6_found, p6_pieces, p7_found, p7_restored, p8_ids, p9_found, p9_cleaned, p10_found, p10_consistent, p10_groups)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_cleaned, p2_spans_cleaned, p3_found, p3_main_text, p4_found, p4_groups, p5_found, p5_lines, p5_documents, p6_found, p6_pieces, p7_found, p7_restored, p8_ids, p9_found, p9_cleaned, p10_found, p10_consistent, p10_groups)}
 SQL: dict[str, str] = {
     "p6_found": """
         SELECT 'chunk' AS item_kind, id AS item_id FROM chunks WHERE length(content) > 3000

@@ -2,11 +2,14 @@
 
 import collections
 import random
+import re
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import dartminhash, encoding, language, leakage, lexicon, lookalike, pages, pieces, simhash, site_lines
@@ -71,9 +74,9 @@ def test_samples(spark):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
     rows = [(1, "train", None, text), (2, "train", "s", text), (3, "test", "s", text.upper()), (4, None, None, text + " end"), (5, "test", "s", None), (6, "test", "s", "")]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SAMPLE)
-    pairs = simhash.cross_split(df)
+    pairs = simhash.cross_split(df).cache()
     assert {(r[0], r[1]) for r in pairs.collect()} == {(1, 3), (2, 3), (1, 4), (2, 4)}
-    counts = {(r["split"], r["source"]): (r.samples, r.overlapping, r.pairs) for r in simhash.overlap_counts(df, pairs).collect()}
+    counts = {(r["split"], r["source"]): (r.samples, r.overlapping, r.pairs) for r in simhash.overlap_counts(df).collect()}
     assert counts == {("test", "s"): (3, 1, 2), (None, None): (1, 1, 2)}
     assert simhash.cross_split(df.limit(0)).collect() == []
 
@@ -92,7 +95,8 @@ def test_labelled_lines_are_distinct_and_of_the_whole_sample(spark):
     assert lines == labelled_lines(docs.repartition(3), ("en", "de"), 400)
     everything = labelled_lines(docs, ("en", "de"))
     assert sorted(everything) == sorted({("en", t) for t in [copied, *own]} | {("de", t) for _, t in rows if t[0] == "Ü"})
-    text = language.train(everything, ("en", "de"), 5000)[0]
+    model = language.train(everything, 5000)
+    text = model.texts[model.languages.index("en")]
     codes = text.tobytes()
     used = [t for t in own if language.coded(t).tobytes() in codes]
     assert len({t[0] for t in used}) > 8 and codes.count(language.coded(copied).tobytes()) <= 1
@@ -114,20 +118,39 @@ def test_removed_spans(spark):
     assert got[1].text == "Before. . After" and got[2].text is None
 
 
-@pytest.mark.parametrize(
-    "a,b,same",
-    [
-        ("ｃａｔ", "cat", True), ("ﬁeld", "field", True), ("été", "été", True), ("ca​t", "cat", True), ("a b", "a b", True), ("cоunted", "counted", True), ("Τhrοugh", "Through", True),
-        ("시범".replace("시", "시"), "시범", True), ("слово", "slovo", False), ("λόγος", "logos", False), ("été", "ete", False), ("Cat", "cat", False), ("a  b", "a b", False), ("x²", "x2", False),
-    ],
-)
-def test_consistent_form(a, b, same):
-    assert (canon(a) == canon(b)) is same
+LOOK_ALIKE = [
+    ("ｃａｔ", "cat"), ("ﬁeld", "field"), ("e\u0301te\u0301", "été"), ("ca\u200bt", "cat"), ("a\u00a0b", "a b"), ("c\u043eunted", "counted"), ("\u03a4hr\u03bfugh", "Through"), ("\u1109\u1175범", "시범"),
+    ("\U0001d400bc", "Abc"), ("\u2163", "IV"), ("\u2170\u2170", "ii"), ("\u0251rt", "art"), ("\u0555K", "OK"), ("\u13aart", "Art"), ("a\u2011b", "a-b"), ("a\u202ab\u2066", "ab"), ("pay\u0440\u0430", "paypa"),
+    ("Слово paypa", "Слово \u0440\u0430\u0443\u0440\u0430"), ("м\u0061ма", "мама"), ("Г\u03c1ад", "Град"),
+]
+DIFFERENT = [("слово", "slovo"), ("λόγος", "logos"), ("été", "ete"), ("Cat", "cat"), ("a  b", "a b"), ("x²", "x2"), ("sınır", "sinir"), ("l1", "ll"), ("O0", "OO"), ("口", "ロ"), ("a,b", "a.b")]
+
+
+@pytest.mark.parametrize("by_context", [False, True])
+def test_consistent_form(spark, by_context):
+    for a, b in LOOK_ALIKE:
+        assert canon(a, by_context) == canon(b, by_context), (a, b)
+    for a, b in DIFFERENT:
+        assert canon(a, by_context) != canon(b, by_context), (a, b)
+
+
+def test_the_form_of_a_line_is_that_line_of_the_form(spark):
+    text = "\n".join(x for pair in LOOK_ALIKE + DIFFERENT for x in pair)
+    assert canon(text).split("\n") == [canon(x) for x in text.split("\n")]
+    assert canon("нос и рот в порту", by_context=True) == "нос и рот в порту"
+
+
+def test_pairs_and_groups_of_look_alikes(spark):
+    rows = [(1, "plain text"), (2, "plаin text"), (3, "plain text"), (4, "plain text"), (5, "other"), (6, "other"), (7, None), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in lookalike.lookalike_pairs(docs).collect()} == {(1, 2), (2, 3), (2, 4)}
+    assert sorted(tuple(r) for r in lookalike.lookalike_groups(docs).collect()) == [(1, 1, 2, 3, 1), (2, 1, 2, 1, 3), (3, 1, 2, 3, 1), (4, 1, 2, 3, 1)]
 
 
 @given(st.text(max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_consistent_form_is_stable(text):
+    SparkSession.builder.getOrCreate()
     assert canon(canon(text)) == canon(text)
 
 
@@ -225,6 +248,28 @@ def test_encoding_round_trip(text, wrong, right):
     assert fix.best(text) == (text, ())
 
 
+@pytest.mark.parametrize("text", ["Le comité a publié la clé de répartition à l’île.", "등록 심사관은 이용 거부 명부를 수정했다.", "管理団体は冬の公聴会で試験契約を翻訳した。"])
+@pytest.mark.parametrize("codec", ["cp1252", "cp1251", "cp1250", "iso8859_2", "koi8_r", "mac_roman", "cp437", "cp850"])
+def test_text_that_went_wrong_three_times(text, codec):
+    shown = {}
+    for char, byte in encoding._page(codec).items():
+        shown.setdefault(byte, chr(char))
+    bad = text
+    for _ in range(3):
+        bad = "".join(chr(b) if b < 128 else shown[b] for b in bad.encode())
+    fixed, chain = encoding.Compressors([text.encode()]).best(bad)
+    assert fixed == text and len(chain) == 3
+
+
+def test_other_encodings_and_mixed_lines():
+    ja, ko = "管理団体は冬の公聴会で試験契約を翻訳した。", "등록 심사관은 이용 거부 명부를 수정했다."
+    fix = encoding.Repairer([ja.encode(), ko.encode(), "Zürich und Köln".encode()])
+    assert fix.line(ja.encode("euc_jp").decode("latin-1"))[0] == ja
+    assert fix.line("„Köln“ – " + "Zürich".encode().decode("cp1252"))[0] == "„Köln“ – Zürich"
+    assert fix.field("Köln\nein Rest � fehlt") == ("Köln\nein Rest � fehlt", "", False)
+    assert fix.field("Köln – Zürich\n" + ko) is None
+
+
 def _undefined(codec):
     out = set()
     for b in range(256):
@@ -236,9 +281,88 @@ def _undefined(codec):
 
 
 def test_region_of_markup():
-    lines = ["<ul><li><a>Home</a></li><li><a>News</a></li></ul>"] * 4 + ["A long paragraph of the article that says much about many things and more " * 3, "Another long paragraph of the same article with many further words in it " * 3] + ["<div><a>Imprint</a><a>Contact</a></div>"] * 4
-    region, tags = pages.content_region(lines)
-    assert region[4] and region[5] and tags[0] > 4 and not region[0] and not region[9]
+    lines = ["<ul><li><a>Home</a></li><li><a>News</a></li></ul>"] * 4 + ["A long paragraph of the article that says much about many things and more " * 3, "Another long paragraph of the same article with many further words in it " * 3] + ["<div><a>Imprint</a></div><div><a>Contact</a></div><p></p>"] * 4
+    tags = pages.tag_counts(lines)
+    assert tags[0] > 4
+    region = pages.content_region(np.array([len(re.sub("<[^>]*>", "", x)) for x in lines]), tags, np.zeros(len(lines)))
+    assert region[4] and region[5] and not region[0] and not region[9]
+
+
+def test_smoothing_joins_short_lines_to_their_neighbours():
+    chars, tags, linked = np.array([300, 20, 300, 20, 20, 20, 20]), np.array([0, 0, 0, 0, 0, 0, 0]), np.array([0, 0.98, 0, 0.999, 0.999, 0.999, 0.999])
+    assert pages.content_region(chars, tags, linked).tolist() == [True, True, True, False, False, False, False]
+    assert not pages.content_region(np.array([300, 40, 300]), np.zeros(3), np.array([0, 1.0, 0]))[1]
+
+
+def test_planted_page_lines(spark):
+    """Forty pages of a site with a menu, a notice of over 200 characters, a title, paragraphs with a subhead, and links to the other articles."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(900)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    notice = "We and our partners store and read information on your device, such as cookies, and process personal data for advertisements and content, measurement, audience research and the development of services; you can change your choice at any time in the settings of this site."
+    titles = [f"What {say(1)} owes {say(1)} about {say(2)}" for _ in range(60)]
+    rows, truth = [], set()
+    for doc in range(40):
+        others = rng.sample([titles[i] for i in range(60) if i != doc], 3)
+        lines = ["Home | News | Charts", titles[doc], say(60), "", say(50), say(3).capitalize(), say(70), notice, *others, "Imprint  Privacy  Contact"]
+        truth |= {(doc, i) for i, x in enumerate(lines, 1) if x in ("Home | News | Charts", notice, "Imprint  Privacy  Contact", *others)}
+        rows.append((doc, "webpage", "Site", titles[doc], "\n".join(lines)))
+    rows += [(100 + i, "news", "Site", titles[i], say(40)) for i in range(40, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, document_type string, source string, title string, text string")
+    papers = spark.createDataFrame([(None,)], "text string")
+    got = {tuple(r) for r in pages.boilerplate(docs, papers).collect()}
+    assert len(got ^ truth) <= 0.02 * len(truth) and {k for k in truth if k[1] in (1, 8, 12)} <= got
+    weighed = {(r.doc_id, r.line_no): r for r in pages.weighed_lines(docs, papers).collect()}
+    assert sum(not weighed[k].common for k in truth) > 60 and len(weighed) == sum(1 for r in rows[:40] for x in r[4].split("\n") if x.strip())
+
+
+def test_glued_notices_are_cut(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(500)]
+    notice = "This article was written with the kind support of the regional press fund and may be copied by members of the union of local newspapers in every district"
+    rows = [(i, 1, f"{' '.join(rng.choices(words, k=20))} {notice} {' '.join(rng.choices(words, k=10))}\nİstanbul own line {words[i]}") for i in range(8)] + [(20, 1, None), (21, None, notice), (22, 2, notice)]
+    docs = spark.createDataFrame(rows, "doc_id long, source_id int, text string")
+    texts = {r[0]: r[2] for r in rows}
+    got = {r.doc_id: r for r in site_lines.without_spans(docs, site_lines.repeated_spans(docs)).collect()}
+    assert {d for d, r in got.items() if r.removed} == set(range(8)) and {d: got[d].text for d in (20, 21, 22)} == {d: texts[d] for d in (20, 21, 22)}
+    for d in range(8):
+        before, after = texts[d].split(notice)
+        assert got[d].text.startswith(before) and got[d].text.endswith(after) and len(texts[d]) - len(got[d].text) > 0.6 * len(notice)
+    assert site_lines.repeated_spans(docs.limit(0)).collect() == [] and site_lines.repeated_lines(docs).count() == 0
+
+
+def test_languages_come_from_the_sample(spark):
+    """Chinese beside Japanese, a label that is no language, a text in none of the languages, a text of short lines."""
+    rng = random.Random(4)
+    alphabets = {"xa": "abcdefgh", "xb": "efghijkl", "ja": "のはをにがとでしたるこれ管理団体冬公聴会", "zh": "的是在了和我们这中国人大上个管理团体冬公听会"}
+    vocabulary = {k: ["".join(rng.choices(a, k=rng.randrange(2, 6))) for _ in range(150)] for k, a in alphabets.items()}
+    say = lambda k, n: (" " if k[0] == "x" else "").join(rng.choices(vocabulary[k], k=n))
+    rows = [(i, "\n".join(say(k, 60) for _ in range(4)), k) for i, k in enumerate(list(alphabets) * 60)] + [(1000 + i, say(("xa", "xb", "ja")[i % 3], 60), "zz") for i in range(30)]
+    rows += [(2000, " ".join("".join(rng.choices("pqrstuvwxyz", k=5)) for _ in range(40)), None), (2001, "\n".join(say("xa", 4) for _ in range(8)), None), (2002, "", None), (2003, None, "xa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = {r.doc_id: r for r in language.document_languages(docs).collect()}
+    assert {got[i].lang for i in range(0, 240, 4)} == {"xa"} and {got[i].lang for i in range(2, 240, 4)} == {"ja"} and {got[i].lang for i in range(3, 240, 4)} == {"zh"}
+    assert "zz" not in {r.lang for r in got.values()} and got[2000].lang is None and got[2000].confidence == 0
+    assert got[2001].lang == "xa" and 2002 not in got and 2003 not in got
+    wrong = {(r.doc_id, r.lang) for r in language.wrong_labels(docs).collect()}
+    assert {d for d, _ in wrong} == set(range(1000, 1030))
+
+
+def test_long_words_are_merged_in_little_time():
+    ranks = lexicon.read_ranks(lexicon.VOCABULARY)
+    start = time.time()
+    assert len(lexicon.merge(b"a" * 200_000, ranks)) < 200_000 and time.time() - start < 20
+
+
+@given(st.text(alphabet=st.sampled_from(list("abeinst é가")), min_size=1, max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_merge_equals_the_plain_loop(text):
+    ranks = {bytes([b]): b for b in range(256)} | {w: 256 + i for i, w in enumerate([b"in", b"st", b"ab", b"abe", b"be", b"inst", b"aa", b"aab", b"nt", b"\xc3\xa9"])}
+    parts = [bytes([b]) for b in text.encode()]
+    while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    assert lexicon.merge(text.encode(), ranks) == [ranks[p] for p in parts]
 
 
 def test_runs_and_hashes():

@@ -62,6 +62,8 @@ def test_p3(spark, sf_dir, docs):
         lines = (docs[doc].text or "").split("\n")
         assert all(lines[i - 1].strip() for d, i in cut if d == doc)
         assert (page.text or "").split("\n") == ([x for i, x in enumerate(lines, 1) if x.strip() and (doc, i) not in cut] or [""])
+        own = (docs[doc].title or "").strip()
+        assert not own or all(lines[i - 1].strip() != own for d, i in cut if d == doc)
 
 
 def test_p4(spark, sf_dir, docs):
@@ -73,14 +75,19 @@ def test_p4(spark, sf_dir, docs):
 
 
 def test_p5(spark, sf_dir, docs):
-    lines = queries.p5_lines(spark, sf_dir).collect()
-    assert all(0 <= r.confidence <= 1 for r in lines)
+    rows = queries.p5_lines(spark, sf_dir).collect()
+    assert all(0 <= r.confidence <= 1 for r in rows)
+    lines = [r for r in rows if r.line_no]
+    short = {r.doc_id for r in rows if not r.line_no}
+    assert all(max(map(len, docs[d].text.split("\n"))) < 100 for d in short) and short.isdisjoint(r.doc_id for r in lines)
     hangul = [r for r in lines if len(re.findall("[가-힣]", docs[r.doc_id].text.split("\n")[r.line_no - 1])) > 50]
     kana = [r for r in lines if len(re.findall("[ぁ-ゟ]", docs[r.doc_id].text.split("\n")[r.line_no - 1])) > 50]
     assert {r.lang for r in hangul} == {"ko"} and {r.lang for r in kana} == {"ja"}
+    assert sum(r.lang is not None for r in lines) > 0.99 * len(lines)
     by_doc = collections.defaultdict(set)
     for r in lines:
-        by_doc[r.doc_id].add(r.lang)
+        if r.lang:
+            by_doc[r.doc_id].add(r.lang)
     plain = {d: re.sub("[^a-z].*", "", (docs[d].lang or "").strip().lower()) for d in by_doc}
     sure = [d for d in by_doc if plain[d] in ("en", "ko", "de", "fr", "es", "ja")]
     assert sum(plain[d] in by_doc[d] for d in sure) > 0.9 * len(sure)  # some labels are wrong
@@ -146,4 +153,7 @@ def test_p10(spark, sf_dir, docs):
     assert found(spark, sf_dir, "p10_found") == expected
     for r in queries.p10_consistent(spark, sf_dir).collect():
         text = docs[r.doc_id].text
-        assert r.text == (None if text is None else canon(text)) and r.changed == (r.text != text)
+        assert r.text == (None if text is None else canon(text, by_context=True)) and r.changed == (r.text != text)
+    groups = {r.doc_id: r for r in queries.p10_groups(spark, sf_dir).collect()}
+    assert set(groups) == {d for pair in expected for d in pair}
+    assert sum(r.links for r in groups.values()) == 2 * len(expected)
