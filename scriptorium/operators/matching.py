@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.storage import ship
 
-MOST_PATTERNS = 5_000_000  # characters of patterns that may be broadcast
+MOST_PATTERNS = 200_000  # patterns that may be broadcast; more are joined by shuffle
 
 
 def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 512) -> DataFrame:
@@ -29,52 +27,39 @@ def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
+def pieces(c: Column, size: int) -> Column:
+    """The distinct substrings of `size` characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(size))))
+
+
 def containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """id, pattern - every (id, text) row with each pattern that its lower-cased text contains.
 
-    One pass of an Aho-Corasick automaton over all patterns; their size is checked before they are broadcast, and larger sets
-    are taken in blocks, one pass each. Null and empty patterns match nothing.
+    A pattern is met through its first three characters (two or one, where it is that short), which are joined with the distinct substrings of
+    the texts of that length; what meets is verified. Few substrings meet, so only ids and substrings are joined, and texts come back for the hits.
+    Null and empty patterns match nothing.
     """
-    wanted = patterns.select(F.lower("pattern").alias("pattern")).where("pattern <> ''").distinct()
-    size = wanted.agg(F.coalesce(F.sum(F.length("pattern")), F.lit(0))).first()[0]
-    blocks = int(size // MOST_PATTERNS) + 1
+    wanted = patterns.select(F.lower("pattern").alias("pattern")).where("pattern <> ''").distinct().withColumn("size", F.least(F.length("pattern"), F.lit(3))).withColumn("head", F.left("pattern", F.col("size")))
+    few = wanted.limit(MOST_PATTERNS + 1).count() <= MOST_PATTERNS
+    if few:  # a checked number of short strings
+        wanted = F.broadcast(wanted)
+    lower = texts.where("text is not null").select("id", F.lower("text").alias("text"))
+    sizes = [r[0] for r in wanted.select("size").distinct().orderBy("size").collect()]
     out = None
-    for b in range(blocks):
-        own = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b)
-        found = _containing(texts, [r[0] for r in own.toLocalIterator()])
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-_automata: dict[str, ahocorasick.Automaton] = {}
+    for size in sizes:
+        own = wanted.where(F.col("size") == size).drop("size")
+        met = lower.select("id", "text", F.explode(pieces(F.col("text"), size)).alias("head")).join(own, "head").where(F.contains("text", "pattern")).select("id", "pattern")
+        out = met if out is None else out.unionByName(met)
+    return texts.select("id", F.lit("").alias("pattern")).limit(0) if out is None else out.distinct()
 
 
-def _containing(texts: DataFrame, patterns: list[str]) -> DataFrame:
-    token, shared = uuid.uuid4().hex, texts.sparkSession.sparkContext.broadcast(patterns)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        if token not in _automata:
-            _automata.clear()
-            automaton = ahocorasick.Automaton()
-            for p in shared.value:
-                automaton.add_word(p, p)
-            automaton.make_automaton()
-            _automata[token] = automaton
-        if not len(_automata[token]):
-            return None
-        rows = [(i, p) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for p in {p for _, p in _automata[token].iter(text.lower())}]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.string())], names=["id", "pattern"])
-
-    return map_blocks(texts.select("id", "text"), run, f"id {texts.schema['id'].dataType.simpleString()}, pattern string")
-
-
-def best_rows(scores: DataFrame, query: str, row: str, k: int) -> DataFrame:
-    """The k rows of highest score per query, ties by the row's id, with their rank."""
-    w = W.partitionBy(query).orderBy(F.desc("score"), row)
+def best_rows(scores: DataFrame, query: str, row: str, k: int, *scope: str) -> DataFrame:
+    """The k rows of highest score per query (and scope), ties by the row's id, with their rank. Each task passes on its k best only."""
+    w = W.partitionBy(query, *scope).orderBy(F.desc("score"), row)
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def keep_best(queries: list, rows: list, scores: np.ndarray, k: int, row_type: pa.DataType, query_type: pa.DataType) -> pa.RecordBatch:
+def keep_best(queries: list, rows: list, scores: np.ndarray, k: int, row_type: pa.DataType, query_type: pa.DataType, scope: bool = False) -> pa.RecordBatch:
     """Of one block's [row, query] scores, those above zero that can be among a query's best k: the block's k best and their ties."""
     out_q, out_r, out_s = [], [], []
     for j, q in enumerate(queries):
@@ -85,21 +70,24 @@ def keep_best(queries: list, rows: list, scores: np.ndarray, k: int, row_type: p
         out_q += [q] * len(hit)
         out_r += [rows[i] for i in hit.tolist()]
         out_s.append(column[hit])
-    return pa.RecordBatch.from_arrays([pa.array(out_q, query_type), pa.array(out_r, row_type), pa.array(np.concatenate(out_s) if out_s else [], pa.float64())], names=["query_id", "row_id", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(out_q, query_type), pa.array(out_r, row_type), pa.array(np.concatenate(out_s) if out_s else [], pa.float64()), pa.array([scope] * len(out_q), pa.bool_())], names=["query_id", "row_id", "score", "scope"])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """query_id, row_id, distance, rank: the k rows of least cosine distance per query, ties by row_id; exact.
 
-    vectors and queries: id, vector. Both are packed into blocks that meet pairwise, so each task multiplies two small
-    matrices; only k rows per query and block go on. Null vectors and vectors of no length have no rows.
+    vectors and queries: id, vector; with a column category on both sides also scope: the ranking among all rows has scope false, that
+    among the rows of the query's category has scope true. Both are packed into blocks that meet pairwise, so each task multiplies two
+    small matrices; only k rows per query and block go on. Null vectors and vectors of no length have no rows.
     """
+    scoped = "category" in vectors.columns and "category" in queries.columns
+    row_type = vectors.schema["id"].dataType.simpleString()
 
     def packed(df: DataFrame, name: str) -> DataFrame:
-        good = df.where("vector is not null and size(vector) > 0").select("id", "vector")
+        good = df.where("vector is not null and size(vector) > 0").select("id", "vector", *(["category"] if scoped else []))
         n = good.count()
         numbered = good.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n // block + 1)))
-        return numbered.groupBy("b").agg(F.collect_list(F.struct("id", "vector")).alias(name)).drop("b")
+        return numbered.groupBy("b").agg(F.collect_list(F.struct("id", "vector", *(["category"] if scoped else []))).alias(name)).drop("b")
 
     pairs = packed(vectors, "rows").crossJoin(packed(queries, "queries"))  # of blocks, not of rows
 
@@ -110,8 +98,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -
             m, n = (np.array([x["vector"] for x in side], np.float64) for side in (r, q))
             m, n = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (m, n))
             near = np.round(m @ n.T + 2.0, 12)  # above zero, so that every row counts
-            parts.append(keep_best([x["id"] for x in q], [x["id"] for x in r], near, k, pa.int64(), pa.int64()))
+            ids, rows, kind = [x["id"] for x in q], [x["id"] for x in r], pa.string() if row_type == "string" else pa.int64()
+            parts.append(keep_best(ids, rows, near, k, kind, pa.int64(), False))
+            if scoped:
+                parts.append(keep_best(ids, rows, near * same([x["category"] for x in r], [x["category"] for x in q]), k, kind, pa.int64(), True))
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
 
-    found = map_blocks(pairs.select("rows", "queries"), run, "query_id long, row_id long, score double", 1)
-    return best_rows(found, "query_id", "row_id", k).select("query_id", "row_id", F.round(F.lit(3.0) - F.col("score"), 9).alias("distance"), "rank")
+    found = map_blocks(pairs.select("rows", "queries"), run, f"query_id long, row_id {row_type}, score double, scope boolean", 1)
+    best = best_rows(found, "query_id", "row_id", k, "scope").select("query_id", "row_id", F.round(F.lit(3.0) - F.col("score"), 9).alias("distance"), "rank", "scope")
+    return best if scoped else best.drop("scope")
+
+
+def same(rows: list, queries: list) -> np.ndarray:
+    """[row, query]: 1 where both have one category, else 0; null is none."""
+    kinds = {c: i for i, c in enumerate({c for c in queries if c is not None})}
+    return (np.array([kinds.get(c, -1) for c in rows])[:, None] == np.array([kinds.get(c, -2) for c in queries])[None, :]).astype(float)

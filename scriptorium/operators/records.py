@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -59,6 +61,9 @@ def contexts(raw: DataFrame) -> DataFrame:
     return raw.where(F.trim("content") != "").select(F.col("id").cast("string").alias("chunk_id"), F.col("document_id").cast("string").alias("document_id"), "content")
 
 
+_SPACED = re.compile(r"[^ \t\n\r\f\v]+")
+
+
 def serialized(chunks: DataFrame) -> DataFrame:
     """document_id, blocks: a JSON block for each chunk whose content is not null, in the order of chunk_index, joined by blank lines."""
     block = F.struct("chunk_index", F.to_json(F.struct(F.col("id").alias("chunk_id"), "content")).alias("j"))
@@ -99,8 +104,8 @@ def rerank(candidates: DataFrame, judge: Callable[[str, list[str]], list[int]],
 
 def word_judge(topic: str, contents: list[str]) -> list[int]:
     """A deterministic stand-in for a model: keeps contents that share two or more words with the topic."""
-    words = set((topic or "").lower().split())
-    return [i for i, c in enumerate(contents, 1) if len(words & set(c.lower().split())) >= 2]
+    words = set(_SPACED.findall((topic or "").lower()))
+    return [i for i, c in enumerate(contents, 1) if len(words.intersection(_SPACED.findall(c.lower()))) >= 2]
 
 
 def first_safe(attempts: list[Column], safe: Callable[[Column], Column], fallback: str) -> Column:

@@ -5,7 +5,6 @@ Every frame carries query_id, so all topics run in one job. Every ranking has a
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 
 import numpy as np
@@ -16,10 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import proper_nouns
-from scriptorium.operators.matching import best_rows, containing, keep_best, map_blocks
+from scriptorium.operators.matching import best_rows, containing, keep_best, map_blocks, nearest, same
 from scriptorium.storage import stage
 
 K1, B = 1.2, 0.75
+MOST_ASKED = 1_000_000  # words of topics, each topic's counted for itself, that are broadcast at once
 CHANNEL_K, PHRASE_K, GRAPH_K, RRF_K = 50, 30, 30, 60
 _WORD = r"[\p{L}\p{N}]+"
 
@@ -31,50 +31,105 @@ def terms(c: str) -> F.Column:
 # --- channels --------------------------------------------------------------------------------------------------------
 
 
-def keyword_channel(topics: DataFrame, chunks: DataFrame, k: int = CHANNEL_K) -> DataFrame:
-    """query_id, chunk_id, score, rank: BM25 over any of the topic's words; the k best chunks of each topic.
+def searchable(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """chunk_id, document_id, chunk_index, content, document_type, category: chunks of known documents, written once for all channels."""
+    of = docs.select(F.col("doc_id").alias("document_id"), "document_type", "category")
+    return stage(chunks.select("chunk_id", "document_id", "chunk_index", "content").join(of, "document_id"), "searchable")
 
-    topics: query_id, text; chunks: chunk_id, content. Corpus statistics come from all chunks by a partial aggregate; only those of
-    the topics' words, a stated set, go to the driver. Each task scores its chunks against all topics and passes on its best.
+
+def bucket_vector(c: str, size: int = 64) -> F.Column:
+    """A deterministic stand-in for an embedding: how many words of the text fall into each of `size` buckets of a hash; null without words."""
+    buckets = F.transform(terms(c), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % size)
+    return F.when(F.size(buckets) > 0, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double")))
+
+
+def vector_channel(topics: DataFrame, chunks: DataFrame, k: int = CHANNEL_K, embed=bucket_vector) -> DataFrame:
+    """query_id, chunk_id, score, rank, scope: the k nearest chunks of each topic, among all and among those of its category; exact.
+
+    embed gives the vector of a text column; for a model's vectors give a function that names the column they are in.
+    """
+    rows = chunks.where("content is not null").select(F.col("chunk_id").alias("id"), embed("content").alias("vector"), "category")
+    found = nearest(rows, topics.select(F.col("query_id").alias("id"), embed("text").alias("vector"), "category"), k)
+    return found.select("query_id", F.col("row_id").alias("chunk_id"), (1 - F.col("distance")).alias("score"), "rank", "scope")
+
+
+def keyword_channel(topics: DataFrame, chunks: DataFrame, k: int = CHANNEL_K, most: int = MOST_ASKED) -> DataFrame:
+    """query_id, chunk_id, score, rank, scope: BM25 over any of the topic's words; the k best chunks of each topic, among all (scope false) and among those of its category.
+
+    topics: query_id, text, category; chunks: chunk_id, content, category. Corpus statistics come from all chunks by a partial aggregate;
+    only those of the topics' words, a stated set, go to the driver, and from there as a sparse table. It is counted first: more than `most`
+    words of topics are taken in blocks of topics, a pass each. Each task scores its chunks against the topics and passes on its best, so no
+    pair of a topic and a chunk is shuffled that can't be among the best.
     """
     spark = chunks.sparkSession
-    asked = topics.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
     per = chunks.where("content is not null").select(terms("content").alias("t"))
     n, mean = per.agg(F.count("*"), F.avg(F.size("t"))).first()
-    df = {r[0]: r[1] for r in per.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(asked.select("term").distinct(), "term", "left_semi").collect()}
-    rows = [(r[0], r[1]) for r in asked.collect()]
-    queries = sorted({q for q, _ in rows})
-    vocabulary = {t: i for i, t in enumerate(sorted(df))}
-    weights = np.zeros((len(vocabulary), len(queries)))
+    asked = topics.select("query_id", "category", F.explode(F.array_distinct(terms("text"))).alias("term"))
+    blocks = asked.count() // most + 1
+    found = None
+    for block in range(blocks):
+        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        part = _keyword_block(spark, own, chunks, per, n, float(mean or 1), k)
+        found = part if found is None else found.unionByName(part)
+    return best_rows(found, "query_id", "row_id", k, "scope").select("query_id", F.col("row_id").alias("chunk_id"), "score", "rank", "scope")
+
+
+def _keyword_block(spark, asked: DataFrame, chunks: DataFrame, per: DataFrame, n: int, mean: float, k: int) -> DataFrame:
+    words = F.broadcast(asked.select("term").distinct())  # at most MOST_ASKED
+    df = {r[0]: r[1] for r in per.select(F.explode(F.array_distinct("t")).alias("term")).join(words, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).collect()}
+    rows = asked.collect()
+    queries = sorted({r["query_id"] for r in rows})
     place = {q: j for j, q in enumerate(queries)}
-    for q, t in rows:
-        if t in df:
-            weights[vocabulary[t], place[q]] = np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
-    shared = spark.sparkContext.broadcast((vocabulary, weights, queries, float(mean or 1)))
+    category = {r["query_id"]: r["category"] for r in rows}
+    table: dict[str, tuple[list, list]] = {}
+    for r in rows:
+        if r["term"] in df:
+            at, weight = table.setdefault(r["term"], ([], []))
+            at.append(place[r["query_id"]])
+            weight.append(np.log(1 + (n - df[r["term"]] + 0.5) / (df[r["term"]] + 0.5)))
+    shared = spark.sparkContext.broadcast(({t: (np.array(a), np.array(w)) for t, (a, w) in table.items()}, queries, [category[q] for q in queries]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vocabulary, weights, queries, mean = shared.value
+        table, queries, categories = shared.value
         find = regex.compile(_WORD).findall
         scores = np.zeros((batch.num_rows, len(queries)))
         for i, content in enumerate(batch.column(1).to_pylist()):
             words = find((content or "").lower())
-            counts = Counter(w for w in words if w in vocabulary)
-            if counts:
-                tf = np.fromiter(counts.values(), float, len(counts))
-                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
-                scores[i] = part @ weights[[vocabulary[w] for w in counts]]
-        return keep_best(queries, batch.column(0).to_pylist(), np.round(scores, 6), k, pa.string(), pa.int64())
+            for word, tf in Counter(w for w in words if w in table).items():
+                at, weight = table[word]
+                scores[i, at] += weight * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean)))
+        scores = np.round(scores, 6)
+        ids = batch.column(0).to_pylist()
+        parts = [keep_best(queries, ids, scores, k, pa.string(), pa.int64(), False), keep_best(queries, ids, scores * same(batch.column(2).to_pylist(), categories), k, pa.string(), pa.int64(), True)]
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if any(p.num_rows for p in parts) else None
 
-    found = map_blocks(chunks.select("chunk_id", "content"), run, "query_id long, row_id string, score double")
-    return best_rows(found, "query_id", "row_id", k).select("query_id", F.col("row_id").alias("chunk_id"), "score", "rank")
+    return map_blocks(chunks.select("chunk_id", "content", "category"), run, "query_id long, row_id string, score double, scope boolean")
 
 
 def phrase_channel(topics: DataFrame, chunks: DataFrame, k: int = PHRASE_K) -> DataFrame:
-    """query_id, chunk_id, score, rank: chunks by the number of the topic's proper-noun phrases that they contain. A topic without phrases has no rows."""
+    """query_id, chunk_id, score, rank, scope: chunks by the number of the topic's proper-noun phrases that they contain, among all and among those of its category. A topic without phrases has no rows."""
     phrases = topics.select("query_id", F.explode(proper_nouns(F.col("text"))).alias("phrase")).select("query_id", F.lower("phrase").alias("pattern")).distinct()
     hits = containing(chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("text")), phrases.select("pattern"))
     scored = hits.join(phrases, "pattern").groupBy("query_id", F.col("id").alias("chunk_id")).agg(F.count("*").cast("double").alias("score"))
-    return best_rows(scored, "query_id", "chunk_id", k).select("query_id", "chunk_id", "score", "rank")
+    scored = scored.join(chunks.select("chunk_id", "category"), "chunk_id").join(F.broadcast(topics.select("query_id", F.col("category").alias("own"))), "query_id")
+    scopes = scored.withColumn("scope", F.explode(F.when(F.coalesce(F.col("category") == F.col("own"), F.lit(False)), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    return best_rows(scopes, "query_id", "chunk_id", k, "scope").select("query_id", "chunk_id", "score", "rank", "scope")
+
+
+def filled(topics: DataFrame, chunks: DataFrame, channels: dict[str, DataFrame], pool: int) -> dict[str, DataFrame]:
+    """Each channel's rows (query_id, chunk_id, rank): those of the topic's category, filled up from all where they are few.
+
+    Few are under `pool` different documents over all the channels of the category together; then every channel goes on with its rows among
+    all chunks. A topic without a category has the rows among all.
+    """
+    staged = {name: stage(rows.select("query_id", "chunk_id", "rank", "scope"), "channel") for name, rows in channels.items()}  # k rows a topic and scope
+    every = None
+    for rows in staged.values():
+        own = rows.where("scope").select("query_id", "chunk_id")
+        every = own if every is None else every.union(own)
+    documents = every.join(chunks.select("chunk_id", "document_id"), "chunk_id").groupBy("query_id").agg(F.count_distinct("document_id").alias("documents"))
+    full = stage(documents.where(F.col("documents") >= pool).join(topics.where("category is not null").select("query_id"), "query_id", "left_semi").select("query_id"), "full")
+    return {name: merge_backfill(rows.where("scope").drop("scope"), rows.where("not scope").drop("scope").join(full, "query_id", "left_anti")) for name, rows in staged.items()}
 
 
 # Weights of relations and of entity kinds.
@@ -126,6 +181,16 @@ def fuse(channels: list[tuple[str, int, DataFrame]], k: int = RRF_K) -> DataFram
     return fused.join(union.groupBy("query_id").agg(F.count_distinct("channel").alias("active")), "query_id")
 
 
+def pool_size(k: int = 5) -> int:
+    """How many fused candidates go on to the filters, for k results."""
+    return max(4 * k, 20)
+
+
+def pool(fused: DataFrame, k: int = 5) -> DataFrame:
+    """The best pool_size(k) fused rows of each topic, by score, ties by chunk_id."""
+    return best_rows(fused, "query_id", "chunk_id", pool_size(k)).drop("rank")
+
+
 def relevant(fused: DataFrame) -> DataFrame:
     """With three or more active channels: a score of a first-three rank or two channels; else a score of a first-six rank."""
     tiny = 1e-9
