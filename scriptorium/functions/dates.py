@@ -53,16 +53,48 @@ def path_date(c: Column) -> Column:
     return F.try_to_date(F.concat(parts[0], F.lit("-"), F.lpad(parts[1], 2, "0"), F.lit("-"), F.lpad(parts[2], 2, "0")), "yyyy-MM-dd")
 
 
-# Attributes of meta elements that carry the publication date, best first.
-META = ("article:published_time", "og:published_time", "datePublished", "publish-date", "pubdate", "date", "DC.date", "dc.date.issued", "sailthru.date")
+# Attributes of meta elements that carry the publication date, best first; keys of linked data; parts of other names that speak of a date.
+META = (
+    ("property", "article:published_time"),
+    ("property", "og:article:published_time"),
+    ("name", "article:published_time"),
+    ("name", "publish-date"),
+    ("name", "publishdate"),
+    ("name", "sailthru.date"),
+    ("name", "date"),
+    ("name", "pubdate"),
+    ("itemprop", "datePublished"),
+)
+LINKED = ("datePublished", "dateCreated", "uploadDate")
+LOOSE = "date|time|publish"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return F.regexp_extract(tag, f"(?is)\\b{name}\\s*=\\s*[\"']([^\"']*)[\"']", 1)
+
+
+def _first(values: Column) -> Column:
+    return F.get(F.filter(values, lambda d: d.isNotNull()), F.lit(0))
 
 
 def page_date(html: Column) -> Column:
-    """Publication date of a page: known meta elements in order, then time elements, then JSON-LD, then any meta whose name speaks of a date."""
-    ways = [F.regexp_extract(html, f'(?is)<meta[^>]*(?:property|name|itemprop)="{name}"[^>]*content="([^"]*)"', 1) for name in META]
-    ways += [F.regexp_extract(html, '(?is)<time[^>]*datetime="([^"]*)"', 1), F.regexp_extract(html, '(?is)"(?:datePublished|dateCreated|uploadDate)"\\s*:\\s*"([^"]*)"', 1)]
-    ways += [F.regexp_extract(html, '(?is)<meta[^>]*(?:property|name|itemprop)="[^"]*(?:date|time|publish)[^"]*"[^>]*content="([^"]*)"', 1)]
-    return F.coalesce(*[iso_date(w) for w in ways])
+    """Publication date of a page, null if nothing can be read.
+
+    The first that is a date of: the known meta elements in order (of each the first such element), the first time element, linked data (scripts
+    of type ld+json in order: the object, the objects of its @graph, or those of a list, each by the keys in order), then any meta
+    element whose name speaks of a date. The order of attributes does not matter.
+    """
+    metas = F.regexp_extract_all(html, F.lit("(?is)(<meta\\b[^>]*>)"), F.lit(1))
+    having = lambda a, v: F.get(F.filter(metas, lambda m: _attribute(m, a) == v), F.lit(0))
+    known = [iso_date(_attribute(having(a, v), "content")) for a, v in META]
+    time = iso_date(_attribute(F.regexp_extract(html, "(?is)(<time\\b[^>]*\\bdatetime\\b[^>]*>)", 1), "datetime"))
+    scripts = F.regexp_extract_all(html, F.lit("(?is)<script\\b[^>]*\\btype\\s*=\\s*[\"']application/ld\\+json[\"'][^>]*>(.*?)</script"), F.lit(1))
+    one, many, none = "map<string,string>", "array<map<string,string>>", F.array().cast("array<map<string,string>>")
+    objects = F.flatten(F.transform(scripts, lambda s: F.concat(F.coalesce(F.array(F.from_json(s, one)), none), F.coalesce(F.from_json(F.get_json_object(s, "$.@graph"), many), none), F.coalesce(F.from_json(s, many), none))))
+    linked = _first(F.flatten(F.transform(objects, lambda o: F.array(*[iso_date(o[k]) for k in LINKED]))))
+    named = lambda m: F.lower(F.coalesce(*[F.nullif(_attribute(m, a), F.lit("")) for a in ("property", "name", "itemprop")], F.lit("")))
+    loose = _first(F.transform(F.filter(metas, lambda m: named(m).rlike(LOOSE)), lambda m: iso_date(_attribute(m, "content"))))
+    return F.coalesce(*known, time, linked, loose)
 
 
 def iso_or_null(c: Column) -> Column:

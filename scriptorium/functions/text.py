@@ -69,6 +69,12 @@ def short_id(c: Column) -> Column:
     return F.split_part(F.substring_index(c, "/", -1), F.lit("v"), F.lit(1))
 
 
+def preprint_id(c: Column) -> Column:
+    """The id in the address of a preprint's abstract page or in its DOI, without version; null where there is none."""
+    found = F.regexp_extract(c, r"(?i)(?:arxiv\.org/abs/|48550/arxiv\.)([A-Za-z0-9_.\-]+)", 1)
+    return F.nullif(F.regexp_replace(found, "v[0-9]+$", ""), F.lit(""))
+
+
 def url_host(c: Column) -> Column:
     """Host of a URL in lower case without a leading www.; null where there is none."""
     host = F.regexp_extract(F.lower(F.trim(c)), "^[a-z]+://([^/?#:]+)", 1)
@@ -150,10 +156,12 @@ def _last(text: Column, mark: str) -> Column:
 
 
 def boundary_trim(c: Column, limit: int) -> Column:
-    """Cut at a paragraph in the last tenth, else at a sentence end in the last 30 %, else hard."""
-    head = F.substring(c, 1, limit)
-    paragraph, stop = _last(head, "\n\n"), _last(head, ". ")
-    return F.when(F.length(c) <= limit, c).when(paragraph >= 0.9 * limit, F.substring(head, F.lit(1), paragraph)).when(stop >= 0.7 * limit, F.substring(head, F.lit(1), stop + 1)).otherwise(head)
+    """Cut at a paragraph in the last tenth, else at a Korean sentence end in the last 15 %, else at a full stop in the last 30 %, else hard; trimmed."""
+    c = F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    head = F.regexp_replace(F.substring(c, 1, limit), f"{WS}+$", "")
+    paragraph, korean, stop = _last(head, "\n\n"), _last(head, "다."), _last(head, ".")
+    cut = F.when(paragraph >= int(0.9 * limit), F.substring(head, F.lit(1), paragraph)).when(korean >= int(0.85 * limit), F.substring(head, F.lit(1), korean + 2)).when(stop >= int(0.7 * limit), F.substring(head, F.lit(1), stop + 1))
+    return F.when(F.length(c) <= limit, c).otherwise(F.regexp_replace(F.coalesce(cut, head), f"^{WS}+|{WS}+$", ""))
 
 
 def broken_words(c: Column) -> Column:

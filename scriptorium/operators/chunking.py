@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,8 +47,9 @@ def hashed_vectors(texts: list[str], dimension: int = DIMENSION) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def embed(rows: DataFrame, column: str, provider: Callable[[list[str]], np.ndarray] = hashed_vectors, batch: int = 100, dimension: int = DIMENSION) -> DataFrame:
-    """Adds embedding and embedding_error. The provider gets at most `batch` texts a call; a failing call leaves nulls and its
+def embed(rows: DataFrame, column: str, provider: Callable[[list[str]], np.ndarray] = hashed_vectors, batch: int = 100, dimension: int = DIMENSION, tries: int = 3, pause: float = 5.0) -> DataFrame:
+    """Adds embedding and embedding_error. The provider gets at most `batch` texts a call; a failing call is tried again, `tries` times in all,
+    after as many seconds as its error asks for (retry_after) or else `pause` times the number of tries. Then it leaves nulls and its
     message, and other rows go on. Vectors of another dimension count as failures. Null and blank texts get no vector."""
 
     def run(parts):
@@ -56,15 +58,19 @@ def embed(rows: DataFrame, column: str, provider: Callable[[list[str]], np.ndarr
             todo = [i for i, t in enumerate(text) if t is not None and t.strip()]
             for start in range(0, len(todo), batch):
                 at = todo[start : start + batch]
-                try:
-                    got = np.asarray(provider([text.iloc[i] for i in at]), float)
-                    if got.shape != (len(at), dimension):
-                        raise ValueError(f"expected {len(at)} vectors of {dimension}")
-                    for i, v in zip(at, got):
-                        vectors[i] = v.tolist()
-                except Exception as e:  # one batch may fail
-                    for i in at:
-                        errors[i] = str(e)
+                for n in range(1, tries + 1):
+                    try:
+                        got = np.asarray(provider([text.iloc[i] for i in at]), float)
+                        if got.shape != (len(at), dimension):
+                            raise ValueError(f"expected {len(at)} vectors of {dimension}")
+                        for i, v in zip(at, got):
+                            vectors[i], errors[i] = v.tolist(), None
+                        break
+                    except Exception as e:  # one batch may fail
+                        for i in at:
+                            errors[i] = str(e)
+                        if n < tries:
+                            time.sleep(getattr(e, "retry_after", None) or pause * n)
             yield pd.DataFrame({"v": vectors, "e": errors})
 
     ship(rows.sparkSession)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from html import unescape
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.functions.dates import page_date
+from scriptorium.storage import per_value
+
 # Elements that hold no content.
 NOISE = ("script", "style", "nav", "header", "footer", "aside", "form", "iframe")
 
@@ -20,11 +23,7 @@ def escaped(c: Column) -> Column:
 
 def decoded(c: Column) -> Column:
     """Text with its entities read once, as HTML 5 has them: &amp;lt; gives &lt;."""
-
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(unescape, na_action="ignore")
-
-    return F.pandas_udf(run, "string")(c)
+    return per_value(unescape, "string")(c)
 
 
 def without_noise(html: Column) -> Column:
@@ -88,6 +87,13 @@ def keep_lines(lines: Column, patterns: list[str], widgets: list[str]) -> Column
     return F.filter(lines, lambda x: ~bad(x))
 
 
+# Marks that a line of a menu has not, a line that only separates, the end of a sentence, a sign of gossip lines.
+MENU_MARKS = """[.!?"'“”「」,]"""
+SEPARATOR = re.compile(r"^[|•·»▶>\-–—]+$")
+SENTENCE_END = re.compile(r"""[.!?:;"'”’)\]』」]\s*$""")
+HEART = "♥"
+
+
 def menu_runs(docs: DataFrame, least: int = 8, longest: int = 20) -> DataFrame:
     """doc_id, first, last, n of each run of `least` or more short lines without sentence marks; blank lines don't end a run. Lines count from 1.
 
@@ -96,27 +102,67 @@ def menu_runs(docs: DataFrame, least: int = 8, longest: int = 20) -> DataFrame:
     lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     solid = lines.withColumn("line", F.trim("line")).where("line <> ''")
     w = W.partitionBy("doc_id").orderBy("i")
-    menu = (F.length("line") <= longest) & ~F.col("line").rlike("[.!?。]")
+    menu = (F.length("line") <= longest) & ~F.col("line").rlike(MENU_MARKS)
     runs = solid.withColumn("menu", menu).withColumn("breaks", F.sum((~F.col("menu")).cast("int")).over(w)).where("menu")
     return runs.groupBy("doc_id", "breaks").agg((F.min("i") + 1).alias("first"), (F.max("i") + 1).alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("breaks")
 
 
+def _outside_runs(lines: list[str], least: int, longest: int) -> list[str]:
+    kept, run, solid = [], [], 0
+    for line in [*lines, None]:
+        text = None if line is None else line.strip()
+        if text == "" or text and len(text) <= longest and not re.search(MENU_MARKS, text):
+            run.append(line)
+            solid += text != ""
+            continue
+        kept += [] if solid >= least else run
+        run, solid = [], 0
+        if line is not None:
+            kept.append(line)
+    return kept
+
+
+def without_menu_runs(c: Column, least: int = 8, longest: int = 20) -> Column:
+    """The text without its runs of `least` or more short lines without sentence marks, blank lines among and beside them included."""
+    return per_value(lambda t: "\n".join(_outside_runs(t.split("\n"), least, longest)), "string")(c)
+
+
+def _joined(lines: list[str], most: int) -> str:
+    out, parts, size = [], [], 0
+    for line in lines:
+        line = line.strip()
+        if not line or SEPARATOR.match(line):
+            out += [" ".join(parts)] if parts else []
+            out.append("")
+            parts, size = [], 0
+            continue
+        size += len(line) + bool(parts)
+        parts.append(line)
+        if size >= most or SENTENCE_END.search(line):
+            out.append(" ".join(parts))
+            parts, size = [], 0
+    return "\n".join(out + ([" ".join(parts)] if parts else []))
+
+
 def reflow(c: Column, most: int = 400) -> Column:
-    """Broken lines joined until a sentence ends or the line reaches `most` characters; a blank line ends a paragraph."""
-    lines = F.transform(F.split(c, "\n", -1), lambda x: F.trim(x))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(acc, x):
-        joined = F.when(acc["open"] == "", x).otherwise(F.concat(acc["open"], F.lit(" "), x))
-        ends = joined.rlike("[.!?。][\"'”’)]?$") | (F.length(joined) >= most)
-        return (
-            F.when(x == "", F.struct(F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), F.lit("").alias("open")))
-            .when(ends, F.struct(F.array_append(acc["done"], joined).alias("done"), F.lit("").alias("open")))
-            .otherwise(F.struct(acc["done"].alias("done"), joined.alias("open")))
-        )
-
-    end = lambda acc: F.array_join(F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])), "\n")
-    return F.aggregate(lines, start, step, end)
+    """Broken lines joined until a sentence ends or the line reaches `most` characters; blank lines and lines of separators, which become blank, end a paragraph."""
+    return per_value(lambda t: _joined(t.split("\n"), most), "string")(c)
+
+
+def clean_lines(c: Column, markers: list[str], patterns: list[str], widgets: list[str], least: int = 8, longest: int = 20, most: int = 400) -> Column:
+    """All rules for lines in their order: cut at the first footer marker, drop gossip, boilerplate, menu and control lines, drop runs of menu lines, then join broken lines.
+
+    Joining comes last: a dropped line would else have been joined to a real one. Null stays null, an empty text empty.
+    """
+    lines = before_marker(F.split(c, "\n", -1), markers)
+    lines = keep_lines(F.filter(lines, lambda x: ~F.contains(x, F.lit(HEART))), patterns, widgets)
+    return per_value(lambda t: _joined(_outside_runs(t.split("\n"), least, longest), most), "string")(F.array_join(lines, "\n"))
+
+
+def page_records(pages: DataFrame, html: str, markers: list[str], patterns: list[str], widgets: list[str]) -> DataFrame:
+    """Adds published, title, text of a page: its date is read first, as scripts carry it; then elements without content go, the article is scoped, its lines are cleaned."""
+    read = pages.withColumns({"published": page_date(F.col(html)), "title": page_title(F.col(html)), "text": page_text(F.col(html))})
+    return read.withColumn("text", clean_lines(F.col("text"), markers, patterns, widgets))
 
 
 def split_sections(text: Column) -> Column:

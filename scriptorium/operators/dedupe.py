@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,21 +43,23 @@ def similar_titles(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Equal titles collapse first. Two sets that similar must share a trigram among their rarest few, so only those prefixes
     are joined, rarest first by document frequency; no pair is lost, and common trigrams form no large groups. Where
     hashed bitmaps show that the sets can't share enough, a pair is dropped inside the join; every other candidate is verified on the
-    whole sets. Null titles, and null types, match nothing.
+    whole sets. Null titles, and null types, match nothing. With a boolean column `known` only pairs with a title that has a row where it is
+    false are sought: what is new against all.
     """
-    titles = docs.where("title is not null and document_type is not null").select("document_type", "title").distinct()
-    sets = stage(titles.select("document_type", "title", trigrams(F.col("title")).alias("t")).where(F.size("t") > 0), "trigrams")
+    given = docs.where("title is not null and document_type is not null")
+    titles = given.groupBy("document_type", "title").agg(F.min("known").alias("known")) if "known" in docs.columns else given.select("document_type", "title").distinct().withColumn("known", F.lit(False))
+    sets = stage(titles.select("document_type", "title", "known", trigrams(F.col("title")).alias("t")).where(F.size("t") > 0), "trigrams")
     sets = stage(sets.select("*", _bitmap(F.col("t"), 0).alias("b0"), _bitmap(F.col("t"), 1).alias("b1")), "bitmaps")
-    each = sets.select("document_type", "title", F.explode("t").alias("g"), F.size("t").alias("n"), "b0", "b1")
+    each = sets.select("document_type", "title", F.explode("t").alias("g"), F.size("t").alias("n"), "b0", "b1", "known")
     counts = each.groupBy("g").agg(F.count("*").alias("df"))
     w = W.partitionBy("document_type", "title").orderBy("df", "g")
-    prefix = each.join(counts, "g").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("document_type", "title", "g", "n", "r", "b0", "b1")
+    prefix = each.join(counts, "g").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("document_type", "title", "g", "n", "r", "b0", "b1", "known")
     a, b = prefix.alias("a"), prefix.alias("b")
     lone = lambda x, y: sum(F.bit_count(F.col(f"{x}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.b{i}")))) for i in (0, 1))
     needed = F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-9
     # what two sets share begins with their rarest common trigram, so from there on enough must be left
     near = (F.least(F.col("a.n") - F.col("a.r"), F.col("b.n") - F.col("b.r")) + 1 >= needed) & (F.col("a.n") - lone("a", "b") >= needed) & (F.col("b.n") - lone("b", "a") >= needed)
-    met = a.join(b, (F.col("a.document_type") == F.col("b.document_type")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.title") < F.col("b.title")) & near)
+    met = a.join(b, (F.col("a.document_type") == F.col("b.document_type")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.title") < F.col("b.title")) & ~(F.col("a.known") & F.col("b.known")) & near)
     pairs = met.select("a.document_type", F.col("a.title").alias("title_a"), F.col("b.title").alias("title_b")).distinct()
     one = sets.select("document_type", F.col("title").alias("title_a"), F.col("t").alias("s"))
     two = sets.select("document_type", F.col("title").alias("title_b"), F.col("t").alias("u"))
@@ -63,13 +67,21 @@ def similar_titles(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return both.select("document_type", "title_a", "title_b", (F.col("both") / (F.size("s") + F.size("u") - F.col("both"))).alias("similarity")).where(F.col("similarity") > threshold)
 
 
+def best_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """document_type, title, best, similarity: of each title the most similar other one of its type over the threshold, of equals the least."""
+    pairs = similar_titles(docs, threshold)
+    both = pairs.select("document_type", F.col("title_a").alias("title"), F.col("title_b").alias("other"), "similarity").unionByName(pairs.select("document_type", F.col("title_b").alias("title"), F.col("title_a").alias("other"), "similarity"))
+    best = both.groupBy("document_type", "title").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "other")).alias("m"))
+    return best.select("document_type", "title", F.col("m.other").alias("best"), (-F.col("m.s")).alias("similarity"))
+
+
 def acceptance(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, status - what a sequential intake would report: inserted, duplicate, near_duplicate or irrelevant.
 
     docs: doc_id, created_at, content_hash, document_type, title, relevant. A document is compared only with documents
     accepted before it: an equal hash makes it a duplicate, a similar or equal title of its type a near duplicate; else its flag
     decides. Order of arrival is (created_at, doc_id). All rows decide at once in rounds: a row is settled when the least
-    accepted or least open arrival among its neighbours tells. Neighbours are summed up per hash and per title, never
+    accepted or least open arrival among its neighbours tells; settled rows leave the loop. Neighbours are summed up per hash and per title, never
     paired row by row. known: documents accepted in earlier runs, of the same columns; they come first and are not reported.
     """
     docs = docs.select("doc_id", "created_at", "content_hash", "document_type", "title", "relevant").withColumn("known", F.lit(False))
@@ -81,27 +93,33 @@ def acceptance(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     links = similar_titles(docs).select(F.concat_ws("\x1f", "document_type", "title_a").alias("a"), F.concat_ws("\x1f", "document_type", "title_b").alias("b"))
     own = rows.where("k is not null").select(F.col("k").alias("a"), F.col("k").alias("b")).distinct()
     near = stage(links.union(links.select("b", "a")).union(own), "title-links")
-    state = stage(rows.withColumn("status", F.when(F.col("known"), "inserted")), "acceptance")
-    accepted, still = F.col("status") == "inserted", F.col("status").isNull()
+    state = stage(rows.select("doc_id", "o", "content_hash", "k", "relevant", F.lit(False).alias("touched"), F.when(F.col("known"), "inserted").alias("status")), "acceptance")
+    settled = []
     while True:
+        accepted, still = F.col("status") == "inserted", F.col("status").isNull()
         least = (F.min(F.when(accepted, F.col("o"))).alias("acc"), F.min(F.when(still, F.col("o"))).alias("open"))
         by_hash = state.where("content_hash is not null").groupBy("content_hash").agg(*least).select("content_hash", F.col("acc").alias("h_acc"), F.col("open").alias("h_open"))
         by_title = state.where("k is not null").groupBy(F.col("k").alias("b")).agg(*least)
         around = near.join(by_title, "b").groupBy(F.col("a").alias("k")).agg(F.min("acc").alias("t_acc"), F.min("open").alias("t_open"))
-        seen = state.join(by_hash, "content_hash", "left").join(around, "k", "left")
+        seen = state.where(still).join(by_hash, "content_hash", "left").join(around, "k", "left")
         before = lambda c: F.coalesce(F.col(c) < F.col("o"), F.lit(False))
+        touched = F.col("touched") | before("t_acc")
         decided = (
-            F.when(F.col("status").isNotNull(), F.col("status"))
-            .when(before("h_acc"), "duplicate")
+            F.when(before("h_acc"), "duplicate")
             .when(before("h_open"), None)  # a hash match may still be accepted and goes first
-            .when(before("t_acc"), "near_duplicate")
+            .when(touched, "near_duplicate")
             .when(before("t_open"), None)
             .when(F.col("relevant"), "inserted")
             .otherwise("irrelevant")
         )
-        state = stage(seen.select("doc_id", "known", "o", "content_hash", "k", "relevant", decided.alias("status")), "acceptance")
-        if not state.where("status is null").limit(1).count():
-            return state.where("not known").select("doc_id", "status")
+        # the next round needs the open rows, with what they know of earlier rounds, and what this round has accepted
+        done = stage(seen.select("doc_id", "o", "content_hash", "k", "relevant", touched.alias("touched"), decided.alias("status")), "acceptance")
+        settled.append(done.where("status is not null").select("doc_id", "status"))
+        if not done.where(still).limit(1).count():
+            return reduce(DataFrame.unionByName, settled)
+        state = done.where(still | accepted)
+        open_keys = done.where(still & F.col("k").isNotNull()).select(F.col("k").alias("a")).distinct()
+        near = stage(near.join(open_keys, "a", "left_semi"), "title-links")
 
 
 def by_precedence(df: DataFrame, key: str, rank: Column, order: str) -> DataFrame:

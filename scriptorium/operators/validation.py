@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +27,15 @@ def valid_evidence(citations: DataFrame, papers: DataFrame, chunks: DataFrame, d
     return held.groupBy(*key).agg(F.min("id").alias("id"), F.min_by("relevance_score", "id").alias("relevance_score"))
 
 
-def references(evidence: DataFrame, docs: DataFrame) -> DataFrame:
-    """paper_id, number, document_id, title: cited documents in the order of their best score, then id."""
-    best = evidence.groupBy("paper_id", "document_id").agg(F.max(F.coalesce("relevance_score", F.lit(-1.0))).alias("score"))
-    ordered = best.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "document_id"))).alias("all"))
-    numbered = ordered.select("paper_id", F.posexplode("all").alias("pos", "r")).select("paper_id", (F.col("pos") + 1).alias("number"), F.col("r.document_id").alias("document_id"))
+def references(evidence: DataFrame, citations: DataFrame, docs: DataFrame) -> DataFrame:
+    """paper_id, number, document_id, title: the documents that evidence cites, in the order of the paper's sources, numbered from 1.
+
+    The sources of a paper are the documents of all its citations, in the order of each one's first citation id.
+    """
+    order = citations.groupBy("paper_id", "document_id").agg(F.min("id").alias("first"))
+    cited = evidence.select("paper_id", "document_id").distinct().join(order, ["paper_id", "document_id"])
+    listed = cited.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("first", "document_id"))).alias("all"))
+    numbered = listed.select("paper_id", F.posexplode("all").alias("pos", "r")).select("paper_id", (F.col("pos") + 1).alias("number"), F.col("r.document_id").alias("document_id"))
     return numbered.join(docs.select(F.col("doc_id").alias("document_id"), "title"), "document_id")
 
 
@@ -49,15 +54,24 @@ def pattern_hits(parts: DataFrame, patterns: dict[str, str]) -> DataFrame:
 
 
 def within_budget(contexts: DataFrame, budget: int) -> DataFrame:
-    """Greedy selection per query in order: what does not fit is skipped, later ones that fit are taken. contexts: query_id, pos, size."""
-    ordered = contexts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"))
-
-    def step(acc, x):
-        fits = acc["used"] + x["size"] <= budget
-        return F.struct((acc["used"] + F.when(fits, x["size"]).otherwise(0)).cast("long").alias("used"), F.when(fits, F.array_append(acc["taken"], x["pos"].cast("int"))).otherwise(acc["taken"]).alias("taken"))
-
-    folded = ordered.select("query_id", F.aggregate("all", start, step).alias("f"))
+    """Greedy selection per query in order: what does not fit is skipped, later ones that fit are taken. contexts: query_id, pos, size.
+
+    Null sizes are left out; of rows with one pos the smaller comes first.
+    """
+    ordered = contexts.where("size is not null").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("all"))
+
+    def run(lists: pd.Series) -> pd.DataFrame:
+        rows = []
+        for items in lists:
+            used, taken = 0, []
+            for x in items:
+                if used + x["size"] <= budget:
+                    used += x["size"]
+                    taken.append(x["pos"])
+            rows.append((used, taken))
+        return pd.DataFrame(rows, columns=["used", "taken"])
+
+    folded = ordered.select("query_id", F.pandas_udf(run, "used long, taken array<int>")("all").alias("f"))
     return folded.select("query_id", F.col("f.used").alias("used"), F.explode("f.taken").alias("pos"))
 
 

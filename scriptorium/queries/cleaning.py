@@ -23,17 +23,9 @@ def _pages(docs):
     return pages.select("doc_id", C.page_title(F.col("html")).alias("title"), C.page_text(F.col("html")).alias("text"))
 
 
-@query("""SELECT doc_id, nullif(trim(title), '') AS title, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text
-  FROM documents WHERE text IS NOT NULL AND NOT contains(text, '<') AND NOT contains(text, '>') AND NOT contains(coalesce(title, ''), '<')""")
-def clean_pages(spark, d):
-    """Only the documents without angle brackets that its SQL names; `all_clean_pages` takes all."""
-    docs = table(spark, d, "documents").where("not contains(text, '<') and not contains(text, '>') and not contains(coalesce(title, ''), '<')")
-    return _pages(docs)
-
-
 @query("""SELECT doc_id, nullif(trim(title), '') AS title, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text
   FROM documents WHERE text IS NOT NULL""")
-def all_clean_pages(spark, d):
+def clean_pages(spark, d):
     return _pages(table(spark, d, "documents"))
 
 
@@ -59,7 +51,7 @@ def boilerplate_lines(spark, d):
 
 
 @query(rf"""WITH l AS (SELECT doc_id, trim(unnest({_LINES})) AS line, unnest(range(len({_LINES}))) AS i FROM documents WHERE text IS NOT NULL),
-  m AS (SELECT *, length(line) <= 60 AND NOT regexp_matches(line, '[.!?。]') AS menu FROM l WHERE line <> ''), b AS (SELECT *, sum(CASE WHEN menu THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS breaks FROM m)
+  m AS (SELECT *, length(line) <= 60 AND NOT regexp_matches(line, '[.!?"''“”「」,]') AS menu FROM l WHERE line <> ''), b AS (SELECT *, sum(CASE WHEN menu THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS breaks FROM m)
   SELECT doc_id, min(i) + 1 AS first, max(i) + 1 AS last, count(*) AS n FROM b WHERE menu GROUP BY doc_id, breaks HAVING count(*) >= 4""")
 def menu_runs(spark, d):
     return C.menu_runs(table(spark, d, "documents"), least=4, longest=60)
@@ -70,6 +62,21 @@ def reflowed_texts(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", C.reflow(F.col("text")).alias("text"))
 
 
+@query()
+def cleaned_texts(spark, d):
+    """All rules for lines, in their order, on every document; the order is tested on a fixture."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", C.clean_lines(F.col("text"), _MARKERS, _PATTERNS, _WIDGETS).alias("text"))
+
+
+@query()
+def page_records(spark, d):
+    """Pages made of all web pages, with their date in a meta element, brought back to date, title and cleaned text."""
+    docs = table(spark, d, "documents").where("text is not null and document_type = 'webpage'")
+    meta = F.concat(F.lit('<html><head><meta content="'), F.coalesce(F.date_format("published_at", "yyyy-MM-dd"), F.lit("")), F.lit('" property="article:published_time"></head>'))
+    html = F.concat(meta, F.lit("<body><nav>Menu</nav><article><title>"), C.escaped(F.coalesce("title", F.lit(""))), F.lit("</title><p>"), F.replace(C.escaped(F.col("text")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></article></body></html>"))
+    return C.page_records(docs.select("doc_id", html.alias("html")), "html", _MARKERS, _PATTERNS, _WIDGETS).drop("html")
+
+
 @query()
 def parsed_sections(spark, d):
     papers = table(spark, d, "papers").where("body is not null")

@@ -27,15 +27,24 @@ def url_dedup(spark, d):
     return D.keep_first(table(spark, d, "documents").select("doc_id", "url", "created_at"), "url", ["created_at", "doc_id"]).select("doc_id", "url")
 
 
-@query("""WITH t AS (SELECT DISTINCT document_type, title FROM documents WHERE title IS NOT NULL AND document_type IS NOT NULL),
+_SIMILAR = """WITH t AS (SELECT DISTINCT document_type, title FROM documents WHERE title IS NOT NULL AND document_type IS NOT NULL),
   w AS (SELECT document_type, title, '  ' || unnest(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+')) || ' ' AS w FROM t),
   g AS (SELECT document_type, title, list(DISTINCT g) AS t FROM (SELECT document_type, title, unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))) AS g FROM w) GROUP BY ALL)
   SELECT a.document_type, a.title AS title_a, b.title AS title_b, len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS similarity
-  FROM g a JOIN g b ON a.document_type = b.document_type AND a.title < b.title WHERE similarity > 0.6""")
+  FROM g a JOIN g b ON a.document_type = b.document_type AND a.title < b.title WHERE similarity > 0.6"""
+
+
+@query(_SIMILAR)
 def similar_titles(spark, d):
     return D.similar_titles(table(spark, d, "documents"))
 
 
+@query(f"""WITH s AS ({_SIMILAR}), b AS (SELECT document_type, title_a AS title, title_b AS best, similarity FROM s UNION ALL SELECT document_type, title_b, title_a, similarity FROM s)
+  SELECT document_type, title, best, similarity FROM b QUALIFY row_number() OVER (PARTITION BY document_type, title ORDER BY similarity DESC, best) = 1""")
+def best_similar_title(spark, d):
+    return D.best_matches(table(spark, d, "documents"))
+
+
 def _arrivals(spark, d):
     return table(spark, d, "documents").select("doc_id", "created_at", T.content_hash(F.col("text")).alias("content_hash"), "document_type", "title", (F.col("category") != "unknown").alias("relevant"))
 

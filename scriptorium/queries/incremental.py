@@ -18,16 +18,17 @@ from scriptorium.streaming import intake
 
 @query()
 def incremental_intake(spark, d):
-    """All documents as a stream of files in order of arrival; statuses are those of the whole at once."""
-    folder = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
+    """All documents as three landings in order of arrival, each taken in by a run of its own; statuses are those of the whole at once."""
+    home = f"{shared_dir(spark)}/intake-{uuid.uuid4().hex}"
+    folder = f"{home}/landing"
     rows = _arrivals(spark, d)
-    order = F.struct(F.coalesce("created_at", F.lit(0).cast("timestamp")), "doc_id")
     bounds = rows.select(F.percentile_approx(F.unix_micros(F.coalesce("created_at", F.lit(0).cast("timestamp"))), [0.33, 0.66])).first()[0]
     part = F.when(F.unix_micros("created_at") <= bounds[0], 0).when(F.unix_micros("created_at") <= bounds[1], 1).otherwise(2)
     part = F.when(F.col("created_at").isNull(), 0).otherwise(part)
     for i in range(3):
-        rows.where(part == i).orderBy(order).coalesce(1).write.mode("append").parquet(folder)
-    return intake.run(spark, folder, rows.schema).select("doc_id", "status")
+        rows.where(part == i).write.mode("append").parquet(folder)
+        statuses = intake.run(spark, folder, rows.schema, home)
+    return statuses.select("doc_id", "status")
 
 
 _NEW = "regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', E'\\n\\n', 'g')"
@@ -71,12 +72,12 @@ def json_lines_round_trip(spark, d):
     return R.json_lines(spark, path, rows.schema)
 
 
-@query("SELECT doc_id, source, category FROM documents WHERE source IS NOT NULL AND category IS NOT NULL")
+@query("SELECT doc_id, source, category FROM documents")
 def csv_round_trip(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source", "category").where("source is not null and category is not null")
+    rows = table(spark, d, "documents").select("doc_id", "source", "category")
     path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
     S.csv(rows, path)
-    return spark.read.schema(rows.schema).csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return spark.read.schema(rows.schema).csv(path, header=True, nullValue="\\N", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 @query("SELECT doc_id, trim(title) AS title, url AS link FROM documents WHERE url IS NOT NULL AND title IS NOT NULL AND trim(title) <> ''")

@@ -86,10 +86,9 @@ def length_budgets(spark, d):
     return table(spark, d, "documents").where("n_chars is not null").select("doc_id", R.shares(F.col("n_chars"), [10, 23, 40, 17]).alias("parts"))
 
 
-@query("""SELECT document_id, string_agg(to_json({'chunk_id': id, 'content': content}), chr(10) || chr(10) ORDER BY chunk_index) AS blocks FROM chunks WHERE content IS NOT NULL AND regexp_matches(content, '^[ -~\\n]*$') GROUP BY document_id""")
+@query("""SELECT document_id, string_agg(to_json({'chunk_id': id, 'content': content}), chr(10) || chr(10) ORDER BY chunk_index) AS blocks FROM chunks WHERE content IS NOT NULL GROUP BY document_id""")
 def serialized_contexts(spark, d):
-    """Only the chunks of ASCII that its SQL names; `serialized_chunks` takes all."""
-    return R.serialized(table(spark, d, "chunks").where(F.col("content").rlike("^[ -~\\n]*$")))
+    return R.serialized(table(spark, d, "chunks"))
 
 
 @query("""SELECT document_id, string_agg(to_json({'chunk_id': id, 'content': content}), chr(10) || chr(10) ORDER BY chunk_index, id) AS blocks FROM chunks WHERE content IS NOT NULL GROUP BY document_id""")
@@ -97,10 +96,18 @@ def serialized_chunks(spark, d):
     return R.serialized(table(spark, d, "chunks"))
 
 
-@query()
+@query(r"""WITH sc AS (SELECT c.id AS chunk_id, c.content FROM chunks c JOIN documents d ON d.doc_id = c.document_id),
+  ct AS (SELECT chunk_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS t FROM sc WHERE content IS NOT NULL), stat AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM ct),
+  tf AS (SELECT chunk_id, len(t) AS dl, term, count(*) AS tf FROM (SELECT chunk_id, t, unnest(t) AS term FROM ct) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM eval_items),
+  kw AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS score FROM asked JOIN tf USING (term) JOIN df USING (term), stat GROUP BY query_id, chunk_id),
+  top AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM kw WHERE score > 0 QUALIFY pos <= 30),
+  j AS (SELECT top.*, pos <= 20 AND len(list_intersect(list_distinct(regexp_extract_all(lower(replace(left(content, 300), chr(10), ' ')), '[^ \t\n\r\f\v]+')), list_distinct(regexp_extract_all(lower(text), '[^ \t\n\r\f\v]+')))) >= 2 AS good
+    FROM top JOIN sc USING (chunk_id) JOIN eval_items ON item_id = query_id)
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS place FROM j WHERE pos > 20 OR good OR query_id NOT IN (SELECT query_id FROM j WHERE good)""")
 def reranked_contexts(spark, d):
     topics, chunks = _inputs(spark, d)
-    best = P.keyword_channel(topics, chunks, 30).join(chunks.select("chunk_id", "content"), "chunk_id").join(topics.select("query_id", F.col("text").alias("topic")), "query_id")
+    best = P.keyword_channel(topics, chunks, 30).where("not scope").join(chunks.select("chunk_id", "content"), "chunk_id").join(topics.select("query_id", F.col("text").alias("topic")), "query_id")
     return R.rerank(best.select("query_id", "topic", "chunk_id", "content", F.col("rank").alias("pos")), R.word_judge)
 
 

@@ -58,10 +58,10 @@ def title_proper_nouns(spark, d):
 
 @query(r"""SELECT doc_id, nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z]+://([^/?#:]+)', 1), '^www\.', ''), '') AS host,
   split_part(regexp_extract(url, '([^/]*)$', 1), 'v', 1) AS short_id, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') AS safe,
-  nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS number FROM documents""")
+  nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS number, nullif(regexp_replace(regexp_extract(url, '(?i)(?:arxiv\.org/abs/|48550/arxiv\.)([A-Za-z0-9_.\-]+)', 1), 'v[0-9]+$', ''), '') AS preprint FROM documents""")
 def url_parts(spark, d):
     u = F.col("url")
-    return table(spark, d, "documents").select("doc_id", T.url_host(u).alias("host"), T.short_id(u).alias("short_id"), T.safe_name(u).alias("safe"), F.nullif(F.regexp_extract(u, "/([0-9]+)", 1), F.lit("")).alias("number"))
+    return table(spark, d, "documents").select("doc_id", T.url_host(u).alias("host"), T.short_id(u).alias("short_id"), T.safe_name(u).alias("safe"), F.nullif(F.regexp_extract(u, "/([0-9]+)", 1), F.lit("")).alias("number"), T.preprint_id(u).alias("preprint"))
 
 
 @query(r"""SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -108,10 +108,12 @@ def trimmed_abstracts(spark, d):
     return table(spark, d, "papers").where("abstract is not null").select("id", T.whole_sentences(a, 200).alias("trimmed"), T.snippet(a).alias("snippet"))
 
 
-@query(r"""WITH h AS (SELECT id, body, substr(body, 1, 2000) AS head FROM papers WHERE body IS NOT NULL),
+@query(r"""WITH c AS (SELECT id, regexp_replace(body, '^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$', '', 'g') AS body FROM papers WHERE body IS NOT NULL),
+  h AS (SELECT id, body, regexp_replace(substr(body, 1, 2000), '[ \t\n\r\f\x0b]+$', '') AS head FROM c),
   p AS (SELECT *, CASE WHEN instr(reverse(head), E'\n\n') = 0 THEN 0 ELSE length(head) - instr(reverse(head), E'\n\n') - 1 END AS paragraph,
-    CASE WHEN instr(reverse(head), ' .') = 0 THEN 0 ELSE length(head) - instr(reverse(head), ' .') - 1 END AS stop FROM h)
-  SELECT id, CASE WHEN length(body) <= 2000 THEN body WHEN paragraph >= 1800 THEN substr(head, 1, paragraph) WHEN stop >= 1400 THEN substr(head, 1, stop + 1) ELSE head END AS trimmed FROM p""")
+    CASE WHEN instr(reverse(head), '.다') = 0 THEN 0 ELSE length(head) - instr(reverse(head), '.다') - 1 END AS korean, CASE WHEN instr(reverse(head), '.') = 0 THEN 0 ELSE length(head) - instr(reverse(head), '.') END AS stop FROM h)
+  SELECT id, CASE WHEN length(body) <= 2000 THEN body ELSE regexp_replace(CASE WHEN paragraph >= 1800 THEN substr(head, 1, paragraph) WHEN korean >= 1700 THEN substr(head, 1, korean + 2) WHEN stop >= 1400 THEN substr(head, 1, stop + 1) ELSE head END,
+    '^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$', '', 'g') END AS trimmed FROM p""")
 def boundary_trimmed(spark, d):
     return table(spark, d, "papers").where("body is not null").select("id", T.boundary_trim(F.col("body"), 2000).alias("trimmed"))
 

@@ -26,10 +26,10 @@ def valid_evidence(spark, d):
     return _evidence(spark, d).drop("relevance_score")
 
 
-@query(f"""WITH {_HELD}, best AS (SELECT paper_id, document_id, max(coalesce(relevance_score, -1.0)) AS score FROM held GROUP BY 1, 2)
-  SELECT paper_id, document_id, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, document_id) AS number, title FROM best JOIN documents ON doc_id = document_id""")
+@query(f"""WITH {_HELD}, best AS (SELECT paper_id, document_id, min(id) AS first FROM paper_citations SEMI JOIN held USING (paper_id, document_id) GROUP BY 1, 2)
+  SELECT paper_id, document_id, row_number() OVER (PARTITION BY paper_id ORDER BY first, document_id) AS number, title FROM best JOIN documents ON doc_id = document_id""")
 def cited_references(spark, d):
-    return V.references(_evidence(spark, d), table(spark, d, "documents"))
+    return V.references(_evidence(spark, d), table(spark, d, "paper_citations"), table(spark, d, "documents"))
 
 
 @query("""SELECT id AS paper_id, coalesce(length(title), 0) + coalesce(length(abstract), 0) + coalesce(length(introduction), 0) + coalesce(length(body), 0) + coalesce(length(conclusion), 0) AS chars,
@@ -52,8 +52,8 @@ def evidence_within_budget(spark, d):
 
 
 @query(r"""WITH l AS (SELECT id AS paper_id, unnest(string_split(body, chr(10))) AS heading, unnest(range(len(string_split(body, chr(10))))) AS pos FROM papers WHERE body IS NOT NULL),
-  k AS (SELECT *, regexp_replace(lower(regexp_replace(heading, '^[ \t\n\r\f\x0b]*[0-9]+[.)][ \t\n\r\f\x0b]*', '')), '[ \t\n\r\f\x0b]', '', 'g') AS key FROM l WHERE length(heading) < 100)
+  k AS (SELECT *, regexp_replace(lower(regexp_replace(heading, '^[ \t\n\r\f\x0b]*[0-9]+[.)][ \t\n\r\f\x0b]*', '')), '[ \t\n\r\f\x0b]', '', 'g') AS key FROM l)
   SELECT paper_id, key, heading, pos FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY paper_id, key ORDER BY pos) = 1""")
 def first_headings(spark, d):
     lines = table(spark, d, "papers").where("body is not null").select(F.col("id").alias("paper_id"), F.posexplode(F.split("body", "\n")).alias("pos", "heading"))
-    return V.first_headings(lines.where(F.length("heading") < 100).withColumn("key", heading_key(F.col("heading"))))
+    return V.first_headings(lines.withColumn("key", heading_key(F.col("heading"))))

@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +21,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests on one machine)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         where = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         _own[app] = where
@@ -56,3 +61,13 @@ def ship(spark: SparkSession) -> None:
             z.write(file, file.relative_to(root.parent))
     sc.addPyFile(str(target))
     _shipped.add(sc.applicationId)
+
+
+def per_value(fn: Callable, kind: str) -> Callable[[Column], Column]:
+    """A Python helper for single values, applied to Arrow batches of a column; nulls pass."""
+    ship(SparkSession.active())
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(fn, na_action="ignore")
+
+    return F.pandas_udf(run, kind)

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from scriptorium.operators.dedupe import acceptance
-from scriptorium.storage import shared_dir
 
 ARRIVAL = ("doc_id", "created_at", "content_hash", "document_type", "title", "relevant")
 
@@ -30,12 +27,11 @@ def take_in(batch: DataFrame, number: int, store: str, statuses: str) -> None:
     batch.join(accepted, "doc_id", "left_semi").select(*batch.columns).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
 
-def run(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
-    """doc_id, status, batch of all documents in the folder, taken in by file in order of file time, then the stream ends.
+def run(spark: SparkSession, folder: str, schema: StructType, home: str, files_per_batch: int = 1_000_000) -> DataFrame:
+    """doc_id, status, batch of all documents that have come into the folder so far; those new since the last run under `home` are taken in, then the stream ends.
 
-    The schedule is the caller's: each run takes what is new since its checkpoint.
+    The schedule is the caller's. A micro-batch holds at most files_per_batch files, in order of file time.
     """
-    home = f"{shared_dir(spark)}/intake-{uuid.uuid4().hex}"
     store, statuses = f"{home}/store", f"{home}/statuses"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     query = stream.writeStream.foreachBatch(lambda df, n: take_in(df, n, store, statuses)).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()

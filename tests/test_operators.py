@@ -19,7 +19,7 @@ from scriptorium.sources import readers, sinks
 
 def one(spark, column, **values):
     row = spark.createDataFrame([tuple(values.values())], ",".join(f"{k} string" for k in values))
-    return row.select(column.alias("x")).first()[0]
+    return row.repartition(1).select(column.alias("x")).first()[0]
 
 
 def grams(title):
@@ -97,7 +97,7 @@ def test_failed_embeddings_leave_nulls(spark):
         return chunking.hashed_vectors(texts)
 
     df = spark.createDataFrame([("good",), ("bad",), (None,), (" ",)], "t string").coalesce(1)
-    rows = {r.t: r for r in chunking.embed(df, "t", provider, batch=1).collect()}
+    rows = {r.t: r for r in chunking.embed(df, "t", provider, batch=1, pause=0.01).collect()}
     assert len(rows["good"].embedding) == 64 and rows["good"].embedding_error is None
     assert rows["bad"].embedding is None and rows["bad"].embedding_error == "no answer"
     assert rows[None].embedding is None and rows[" "].embedding is None
@@ -163,7 +163,10 @@ def test_texts(spark):
     assert one(spark, T.known_citations(t, F.array(F.lit("a"))), t="x [a] y [b] .") == "x [a] y."
     assert one(spark, T.plain_markup(t), t="```html\n<b>A &amp; B</b>\n12\nC​```") == "A & B\n\nC"
     assert one(spark, T.broken_words(t), t="x y of text") is True and one(spark, T.broken_words(t), t="a text I read") is False
-    assert one(spark, T.boundary_trim(t, 10), t="A bc. Def ghi jkl") == "A bc. Def "
+    assert one(spark, T.boundary_trim(t, 10), t="A bc. Def ghi jkl") == "A bc. Def"
+    assert one(spark, T.boundary_trim(t, 20), t="First one. Second one is. longer") == "First one. Second on"
+    assert one(spark, T.boundary_trim(t, 20), t="가나다라마바사아자차카타파하 갔다. 그리고 또") == "가나다라마바사아자차카타파하 갔다."
+    assert one(spark, T.preprint_id(t), t="http://arXiv.org/abs/2403.01234v2") == "2403.01234" and one(spark, T.preprint_id(t), t="https://doi.org/10.48550/arXiv.2401.5") == "2401.5" and one(spark, T.preprint_id(t), t="https://a.example/2403.01234") is None
     assert one(spark, T.safe_name(t), t="a/b c.pdf") == "a_b_c.pdf"
     for f in (T.content_hash, T.normalize_name, T.normalize_lines, T.sentences, T.url_host, T.heading_key, T.plain_draft, T.unquote):
         assert one(spark, f(t), t=None) is None
@@ -177,7 +180,13 @@ def test_dates(spark):
     assert one(spark, dates.path_date(t), t="https://a.example/2024/2/30/x") is None
     assert one(spark, dates.path_date(t), t="https://a.example/2024/2/29/x") == day(2024, 2, 29)
     assert one(spark, dates.id_month(t), t="2413.01234") is None
-    assert one(spark, dates.page_date(t), t='<meta property="og:published_time" content="nope"><time datetime="2024-05-06">') == day(2024, 5, 6)
+    assert one(spark, dates.page_date(t), t='<meta property="article:published_time" content="nope"><time class="x" datetime="2024-05-06">') == day(2024, 5, 6)
+    assert one(spark, dates.page_date(t), t='<meta itemprop="datePublished" content="2020-01-01"><meta content=\'2021-02-02T00:00\' name="publish-date">') == day(2021, 2, 2)
+    linked = '<script type="application/ld+json">{"@graph": [{"uploadDate": "2019-01-01", "x": {"y": 1}}, {"dateCreated": "2018-01-01"}], "dateCreated": "no"}</script>'
+    assert one(spark, dates.page_date(t), t=linked) == day(2019, 1, 1)
+    assert one(spark, dates.page_date(t), t='<script>{"datePublished": "2017-01-01"}</script><script type="application/ld+json">broken</script><script type="application/ld+json">[{"a": 1}, {"datePublished": "2016-03-04T05:06"}]</script>') == day(2016, 3, 4)
+    assert one(spark, dates.page_date(t), t='<meta name="modified_time" content="2015-01-02"><meta name="description" content="2014-01-01">') == day(2015, 1, 2)
+    assert one(spark, dates.page_date(t), t="<p>2015-01-02</p>") is None and one(spark, dates.page_date(t), t=None) is None
 
 
 def test_json_and_xml(spark):
@@ -202,11 +211,13 @@ def test_files(spark, tmp_path):
     assert readers.pages(spark, str(tmp_path / "p")).first().html == "café"
     sinks.text(spark.createDataFrame([("x",), (None,)], "t string"), "t", str(tmp_path / "t"))
     assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect() if r.value] == ["x"]
+    sinks.text(spark.createDataFrame([("a",), ("b",)], "t string").coalesce(1), "t", str(tmp_path / "u"))
+    assert next((tmp_path / "u").glob("part-*")).read_text() == "a\n\nb\n\n"
 
 
 def test_lines(spark):
     t = F.col("t")
-    assert one(spark, cleaning.reflow(t), t="a\nb.\n\nc\nd") == "a b.\nc d"
+    assert one(spark, cleaning.reflow(t), t="a\nb.\n\nc\n|\nd\ne") == "a b.\n\nc\n\nd e"
     assert one(spark, cleaning.is_menu(t), t="News Sport Art Music Film Law") is True
     html = "<html><body><nav>x</nav><p>a</p><script>'</p>'</script><p>b</body></html>"
     assert one(spark, cleaning.page_text(t), t=html) == "a\nb"
@@ -236,5 +247,85 @@ def test_pages_with_entities(spark, tmp_path):
     assert one(spark, cleaning.page_title(t), t=None) is None and one(spark, cleaning.page_text(t), t=None) is None
     rows = [(1, "a < b & c", "1 < 2 > 0\n<|endoftext|>\n</p></article>&lt;b&gt; <script>"), (2, None, "plain"), (3, " x ", None), (4, "&amp;", "\n \n&nbsp;")]
     spark.createDataFrame(rows, "doc_id long, title string, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: (r.title, r.text) for r in catalog.QUERIES["all_clean_pages"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.title, r.text) for r in catalog.QUERIES["clean_pages"](spark, str(tmp_path)).collect()}
     assert got == {1: rows[0][1:], 2: (None, "plain"), 4: ("&amp;", "&nbsp;")}
+
+
+def test_line_rules_in_their_order(spark, tmp_path):
+    t = F.col("t")
+    menu = "\n".join(["Home", "News", "", "Charts", "Law", "Art", "Music", "Film", "Shop"])
+    text = f"Print Save Share\n♥ gossip\n{menu}\nA sentence that goes\non here.\n\nShort\nline.\nBack to top\nOther article."
+    spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, t string").write.parquet(str(tmp_path / "texts"))
+    rows = spark.read.parquet(str(tmp_path / "texts")).select("id", cleaning.clean_lines(t, ["Back to top"], ["^©"], ["print", "save", "share"]).alias("x"))
+    assert {r.id: r.x for r in rows.collect()} == {1: "A sentence that goes on here.\n\nShort line.", 2: None, 3: ""}
+    assert one(spark, cleaning.without_menu_runs(t), t="a\n\nb\nc") == "a\n\nb\nc"
+    page = f"<html><head><title>T &amp; U</title><script type='application/ld+json'>{{\"datePublished\": \"2024-05-06\"}}</script></head><body><nav>x</nav><article><p>{text.replace(chr(10), '</p><p>')}</p></article></body></html>"
+    spark.createDataFrame([(page,)], "html string").write.parquet(str(tmp_path / "pages"))
+    r = cleaning.page_records(spark.read.parquet(str(tmp_path / "pages")), "html", ["Back to top"], ["^©"], ["print", "save", "share"]).first()
+    assert (r.published, r.title, r.text) == (datetime.date(2024, 5, 6), "T & U", "A sentence that goes on here.\nShort line.")
+
+
+def test_body_pieces(spark):
+    t = F.col("t")
+    rnd = random.Random(4)
+    text = " ".join(rnd.choice(["word", "ends.", "갔다.", "x\n\n", "longer"]) for _ in range(4000))
+    pieces = one(spark, training.body_pieces(t, 300, 25), t=text)
+    at = 0
+    for p in pieces:
+        assert len(p) <= 300 and p == p.strip()
+        at = text.index(p, max(at - 26, 0)) + len(p)
+    assert at >= len(text.rstrip()) - 1
+    assert one(spark, training.body_pieces(t), t="short") == ["short"] and one(spark, training.body_pieces(t), t="") == [] and one(spark, training.body_pieces(t), t=None) is None
+    assert [len(p) for p in one(spark, training.body_pieces(t, 100, 10), t="x" * 250)] == [100, 100, 70]
+
+
+@pytest.mark.parametrize("n,share", [(1, 0.15), (2, 0.15), (3, 0.15), (40, 0.15), (3000, 0.15)])
+def test_split_takes_the_groups_of_least_hash(spark, n, share):
+    import hashlib
+
+    df = spark.range(n * 2).select((F.col("id") % n).cast("string").alias("k")).unionByName(spark.createDataFrame([(None,)], "k string"))
+    got = {r.k for r in training.split_groups(df, "k", share, small=10).where("part = 'validation'").collect()}
+    hashes = sorted((hashlib.sha256(f"{i}/42".encode()).hexdigest(), str(i)) for i in range(n))
+    assert got == {k for _, k in hashes[: 0 if n <= 2 else max(1, round(n * share))]}
+
+
+def test_balance_of_a_large_group(spark):
+    df = spark.range(5000).select(F.col("id").alias("sample_id"), F.lit("body_1").alias("section"), F.when(F.col("id") % 10 == 0, F.lit("b")).when(F.col("id") % 3 == 0, F.lit("a")).alias("g"))
+    rows = df.collect()
+    expected = set()
+    for g in ("a", "b", None):
+        own = sorted(r.sample_id for r in rows if r.g == g)
+        expected |= {own[round(i * (len(own) - 1) / 4)] for i in range(5)}
+    assert {r.sample_id for r in training.balance(df, "g", "sample_id", 5, 16).collect()} == expected
+    assert training.balance(df.limit(0), "g", "sample_id").count() == 0
+
+
+def test_retried_embeddings(spark):
+    def provider(texts, calls=[]):
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("busy")
+        return chunking.hashed_vectors(texts)
+
+    row = chunking.embed(spark.createDataFrame([("good",)], "t string").coalesce(1), "t", provider, pause=0.01).first()
+    assert len(row.embedding) == 64 and row.embedding_error is None
+
+
+def test_best_matches(spark):
+    titles = ["the red house on the hill", "the red house on a hill", "the red house on the hills", "other", "another red house on the hill"]
+    df = spark.createDataFrame([("a", t) for t in titles] + [("b", titles[0]), (None, "x"), ("a", None)], "document_type string, title string")
+    got = {(r.document_type, r.title): r.best for r in dedupe.best_matches(df).collect()}
+    alike = lambda x, y: len(grams(x) & grams(y)) / len(grams(x) | grams(y))
+    near = {x: sorted((-alike(x, y), y) for y in titles if y != x and alike(x, y) > 0.6) for x in titles}
+    assert got == {("a", x): ys[0][1] for x, ys in near.items() if ys}
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from scriptorium import storage
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Session)
