@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from html import unescape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions.dates import page_date
-from scriptorium.storage import per_value
+from scriptorium.storage import per_value, ship
 
 # Elements that hold no content.
 NOISE = ("script", "style", "nav", "header", "footer", "aside", "form", "iframe")
@@ -149,20 +150,29 @@ def reflow(c: Column, most: int = 400) -> Column:
     return per_value(lambda t: _joined(t.split("\n"), most), "string")(c)
 
 
-def clean_lines(c: Column, markers: list[str], patterns: list[str], widgets: list[str], least: int = 8, longest: int = 20, most: int = 400) -> Column:
-    """All rules for lines in their order: cut at the first footer marker, drop gossip, boilerplate, menu and control lines, drop runs of menu lines, then join broken lines.
+def clean_lines(df: DataFrame, column: str, markers: list[str], patterns: list[str], widgets: list[str], least: int = 8, longest: int = 20, most: int = 400) -> DataFrame:
+    """df with the column's texts under all rules for lines, in their order: cut at the first footer marker, drop gossip, boilerplate, menu and
+    control lines (built-in functions), then drop runs of menu lines and join broken lines (a helper on Arrow batches).
 
     Joining comes last: a dropped line would else have been joined to a real one. Null stays null, an empty text empty.
     """
-    lines = before_marker(F.split(c, "\n", -1), markers)
+    lines = before_marker(F.split(column, "\n", -1), markers)
     lines = keep_lines(F.filter(lines, lambda x: ~F.contains(x, F.lit(HEART))), patterns, widgets)
-    return per_value(lambda t: _joined(_outside_runs(t.split("\n"), least, longest), most), "string")(F.array_join(lines, "\n"))
+    kept = df.withColumn(column, F.array_join(lines, "\n"))
+
+    def run(batches):
+        for batch in batches:
+            texts = [None if t is None else _joined(_outside_runs(t.split("\n"), least, longest), most) for t in batch.column(column).to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(texts, pa.string()))
+
+    ship(df.sparkSession)
+    return kept.mapInArrow(run, kept.schema)
 
 
 def page_records(pages: DataFrame, html: str, markers: list[str], patterns: list[str], widgets: list[str]) -> DataFrame:
     """Adds published, title, text of a page: its date is read first, as scripts carry it; then elements without content go, the article is scoped, its lines are cleaned."""
     read = pages.withColumns({"published": page_date(F.col(html)), "title": page_title(F.col(html)), "text": page_text(F.col(html))})
-    return read.withColumn("text", clean_lines(F.col("text"), markers, patterns, widgets))
+    return clean_lines(read, "text", markers, patterns, widgets)
 
 
 def split_sections(text: Column) -> Column:

@@ -65,7 +65,7 @@ def reflowed_texts(spark, d):
 @query()
 def cleaned_texts(spark, d):
     """All rules for lines, in their order, on every document; the order is tested on a fixture."""
-    return table(spark, d, "documents").where("text is not null").select("doc_id", C.clean_lines(F.col("text"), _MARKERS, _PATTERNS, _WIDGETS).alias("text"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", "text").transform(C.clean_lines, "text", _MARKERS, _PATTERNS, _WIDGETS)
 
 
 @query()

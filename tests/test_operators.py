@@ -256,13 +256,13 @@ def test_line_rules_in_their_order(spark, tmp_path):
     menu = "\n".join(["Home", "News", "", "Charts", "Law", "Art", "Music", "Film", "Shop"])
     text = f"Print Save Share\n♥ gossip\n{menu}\nA sentence that goes\non here.\n\nShort\nline.\nBack to top\nOther article."
     spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, t string").write.parquet(str(tmp_path / "texts"))
-    rows = spark.read.parquet(str(tmp_path / "texts")).select("id", cleaning.clean_lines(t, ["Back to top"], ["^©"], ["print", "save", "share"]).alias("x"))
-    assert {r.id: r.x for r in rows.collect()} == {1: "A sentence that goes on here.\n\nShort line.", 2: None, 3: ""}
+    rows = cleaning.clean_lines(spark.read.parquet(str(tmp_path / "texts")), "t", ["Back to top"], ["^©"], ["print", "save", "share"])
+    assert {r.id: r.t for r in rows.collect()} == {1: "A longer sentence that goes on here.\n\nShort line.", 2: None, 3: ""}
     assert one(spark, cleaning.without_menu_runs(t), t="a\n\nb\nc") == "a\n\nb\nc"
     page = f"<html><head><title>T &amp; U</title><script type='application/ld+json'>{{\"datePublished\": \"2024-05-06\"}}</script></head><body><nav>x</nav><article><p>{text.replace(chr(10), '</p><p>')}</p></article></body></html>"
     spark.createDataFrame([(page,)], "html string").write.parquet(str(tmp_path / "pages"))
     r = cleaning.page_records(spark.read.parquet(str(tmp_path / "pages")), "html", ["Back to top"], ["^©"], ["print", "save", "share"]).first()
-    assert (r.published, r.title, r.text) == (datetime.date(2024, 5, 6), "T & U", "A sentence that goes on here.\nShort line.")
+    assert (r.published, r.title, r.text) == (datetime.date(2024, 5, 6), "T & U", "A longer sentence that goes on here.\nShort line.")
 
 
 def test_body_pieces(spark):
