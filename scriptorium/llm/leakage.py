@@ -69,13 +69,30 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = N, most_grams: int = MOST_
 
 
 class _Index:
+    """The items' n-grams as sorted arrays: 16 bytes each, so at most_grams some 32 MB in a worker. Words are read again from an item's text when it is hit."""
+
     def __init__(self, items: list[tuple[int, str]], n: int):
-        self.n, self.words, self.at = n, {}, {}
-        for item, text in items:
-            self.words[item] = WORD.findall(text.lower())
-            for place, h in enumerate(runs(word_hashes(text), n).tolist()):
-                self.at.setdefault(h, []).append((item, place))
-        self.sorted = np.sort(np.fromiter(self.at, U64, len(self.at)))
+        self.n, self.texts = n, dict(items)
+        self.words: dict[int, list[str]] = {}
+        self.ids = np.array([i for i, _ in items], np.int64)
+        each = [runs(word_hashes(text), n) for _, text in items]
+        hashes = np.concatenate(each) if each else np.empty(0, U64)
+        order = np.argsort(hashes, kind="stable")
+        self.sorted = hashes[order]
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), [len(h) for h in each])[order]
+        self.place = np.concatenate([np.arange(len(h), dtype=np.int32) for h in each])[order] if each else np.empty(0, np.int32)
+
+    def hits(self, h: np.uint64):
+        """(item, place) of every n-gram with that hash."""
+        a, b = np.searchsorted(self.sorted, h, "left"), np.searchsorted(self.sorted, h, "right")
+        return zip(self.ids[self.item[a:b]].tolist(), self.place[a:b].tolist())
+
+    def item_words(self, item: int) -> list[str]:
+        if item not in self.words:
+            if len(self.words) >= 10_000:
+                self.words.clear()
+            self.words[item] = WORD.findall(self.texts[item].lower())
+        return self.words[item]
 
 
 _indexes: dict[str, _Index] = {}
@@ -104,8 +121,8 @@ def _spans(doc: int, text: str, index: _Index) -> list[tuple[int, int, int, int]
     last: dict[tuple[int, int], list[int]] = {}
     out = []
     for i in hits.tolist():
-        for item, place in index.at[int(hashes[i])]:
-            if words[i : i + index.n] == index.words[item][place : place + index.n]:
+        for item, place in index.hits(hashes[i]):
+            if words[i : i + index.n] == index.item_words(item)[place : place + index.n]:
                 open_span = last.get((item, i - place))
                 if open_span and i <= open_span[1] + 1:
                     open_span[1] = i
