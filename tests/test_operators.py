@@ -254,7 +254,7 @@ def test_pages_with_entities(spark, tmp_path):
 def test_line_rules_in_their_order(spark, tmp_path):
     t = F.col("t")
     menu = "\n".join(["Home", "News", "", "Charts", "Law", "Art", "Music", "Film", "Shop"])
-    text = f"Print Save Share\n♥ gossip\n{menu}\nA sentence that goes\non here.\n\nShort\nline.\nBack to top\nOther article."
+    text = f"Print Save Share\n♥ gossip\n{menu}\nA longer sentence that goes\non here.\n\nShort\nline.\nBack to top\nOther article."
     spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, t string").write.parquet(str(tmp_path / "texts"))
     rows = cleaning.clean_lines(spark.read.parquet(str(tmp_path / "texts")), "t", ["Back to top"], ["^©"], ["print", "save", "share"])
     assert {r.id: r.t for r in rows.collect()} == {1: "A longer sentence that goes on here.\n\nShort line.", 2: None, 3: ""}
