@@ -15,6 +15,26 @@ from scriptorium.storage import per_value, ship
 
 # Elements that hold no content.
 NOISE = ("script", "style", "nav", "header", "footer", "aside", "form", "iframe")
+# Beginnings of lines with which the lists below an article begin.
+FOOTERS = ("최신 기사", "주간 인기 기사", "많이 본 뉴스", "인터넷 신문 등록 번호")
+# Lines that belong to a site, not to an article.
+LINE_PATTERNS = (
+    r"^.{0,20}(기자|특파원|인턴기자)\s*\([^()\n]{0,60}@[^()\n]{0,60}\)\s*$",
+    r"^입력\s*\d{4}[.\-]\d{2}[.\-]\d{2}\.?\s*\d{1,2}:\d{2}(\s*수정\s*\d{4}[.\-]\d{2}[.\-]\d{2}\.?\s*\d{1,2}:\d{2})?\s*$",
+    r"^구글\s*검색\s*선호\s*출처로\s*추가.*$",
+    r"^공유하기\b.*(카카오톡|페이스북|트위터|블로그|URL\s*복사|주소\s*복사).*$",
+    r"^(카카오톡|페이스북|트위터|블로그|URL\s*복사|주소\s*복사|X)$",
+    r"^(?:이전\s*기사\s*보기|다음\s*기사\s*보기)(?:\s+(?:이전\s*기사\s*보기|다음\s*기사\s*보기))*\s*$",
+    r"^\[\s*사진\s*[:：]?\s*[^\[\]\n]{0,80}\]\s*(◆.{0,40})?$",
+    r"^(제목|담당부서|담당자|등록일|작성일|작성자|수정일|조회수|조회|첨부문서|첨부파일|미리보기|다운로드|이전글|다음글|이전\s*글|다음\s*글|목록|목록으로|인쇄|공유하기)\s*$",
+    r"^Loading\.\.\.$",
+    r"^.{0,60}is the result of applying Google Translate\.",
+)
+# Names of controls, shapes of further ones, the shape of a menu's word, marks that a menu has not.
+WIDGETS = ("댓글", "좋아요", "싫어요", "슬퍼요", "화나요", "후속요청", "공감", "비공감", "최고예요", "응원해요", "북마크", "스크랩", "공유", "공유하기", "페이스북", "메신저", "트위터", "카카오톡", "네이버", "밴드", "닫기", "복사", "프린트", "제보", "폰트", "글자크기", "본문")
+WIDGET_SHAPES = r"^\d단계$|^\d+px$|^URL이?$|^복사(되었습니다|됨)\.?$"
+MENU_WORD = "^[가-힣A-Za-z0-9]{1,8}(/[가-힣A-Za-z0-9]{1,8})?$"
+MENU_LINE_MARKS = """[.!?"'“”「」]"""
 
 
 def escaped(c: Column) -> Column:
@@ -69,22 +89,26 @@ def before_marker(lines: Column, markers: list[str]) -> Column:
     return F.when(at > 0, F.slice(lines, F.lit(1), (at - 1).cast("int"))).otherwise(lines)
 
 
+def _words(line: Column) -> Column:
+    return F.filter(F.split(F.trim(line), "[ \t]+"), lambda w: w != "")
+
+
 def is_menu(line: Column) -> Column:
-    """Six or more words, each of at most eight characters, and no sentence mark."""
-    words = F.filter(F.split(F.trim(line), "[ \\t]+"), lambda w: w != "")
-    return (F.size(words) >= 6) & F.forall(words, lambda w: F.length(w) <= 8) & ~line.rlike("[.!?。]")
+    """Six or more words, each short and of letters and digits (two with a slash between count as one), and no sentence mark."""
+    words = _words(line)
+    return (F.size(words) >= 6) & F.forall(words, lambda w: w.rlike(MENU_WORD)) & ~line.rlike(MENU_LINE_MARKS)
 
 
 def is_widget(line: Column, words: list[str], share: float = 0.6) -> Column:
-    """Three or more words, most of them names of controls."""
-    given = F.filter(F.split(F.trim(line), "[ \\t|·:,]+"), lambda w: w != "")
-    known = F.filter(given, lambda w: F.lower(w).isin(*words))
+    """Three or more words, most of them names of controls (in any case) or of their shapes."""
+    given = _words(line)
+    known = F.filter(given, lambda w: F.lower(w).isin(*words) | w.rlike(WIDGET_SHAPES))
     return (F.size(given) >= 3) & (F.size(known) / F.greatest(F.size(given), F.lit(1)) >= share)
 
 
 def keep_lines(lines: Column, patterns: list[str], widgets: list[str]) -> Column:
-    """Lines that match no pattern and are neither menus nor controls."""
-    bad = lambda x: F.coalesce(F.exists(F.array(*map(F.lit, patterns)), lambda p: F.regexp_like(x, p)) | is_menu(x) | is_widget(x, widgets), F.lit(False))
+    """Lines that, trimmed, match no pattern and are neither menus nor controls."""
+    bad = lambda x: F.coalesce(F.exists(F.array(*map(F.lit, patterns)), lambda p: F.regexp_like(F.trim(x), p)) | is_menu(x) | is_widget(x, widgets), F.lit(False))
     return F.filter(lines, lambda x: ~bad(x))
 
 

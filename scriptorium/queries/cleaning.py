@@ -8,9 +8,9 @@ from scriptorium.catalog import query
 from scriptorium.operators import cleaning as C
 from scriptorium.storage import table
 
-_MARKERS = ["Back to top", "맨 위로", "Nach oben"]
-_PATTERNS = ["^©", "^[ \\t]*[-*»+][ \\t]", "@"]
-_WIDGETS = ["print", "save", "share", "mail", "chat", "copy", "link", "comments", "menu", "search", "close"]
+_MARKERS = ["Back to top", "맨 위로", "Nach oben", *C.FOOTERS]
+_PATTERNS = ["^©", "^[-*»+][ \\t]", "@", *C.LINE_PATTERNS]
+_WIDGETS = ["print", "save", "share", "mail", "chat", "copy", "link", "comments", "menu", "search", "close", *C.WIDGETS]
 
 
 def _pages(docs):
@@ -30,19 +30,23 @@ def clean_pages(spark, d):
 
 
 _LINES = "string_split(text, chr(10))"
+_MARKED = " OR ".join(f"starts_with(trim(x), '{m}')" for m in _MARKERS)
 
 
-@query(f"""WITH l AS (SELECT doc_id, {_LINES} AS lines, list_position(list_transform({_LINES}, lambda x: starts_with(trim(x), 'Back to top') OR starts_with(trim(x), '맨 위로') OR starts_with(trim(x), 'Nach oben')), true) AS pos FROM documents WHERE text IS NOT NULL)
+@query(f"""WITH l AS (SELECT doc_id, {_LINES} AS lines, list_position(list_transform({_LINES}, lambda x: {_MARKED}), true) AS pos FROM documents WHERE text IS NOT NULL)
   SELECT doc_id, array_to_string(CASE WHEN pos > 0 THEN lines[1 : pos - 1] ELSE lines END, chr(10)) AS text FROM l""")
 def footers_cut(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(C.before_marker(F.split("text", "\n", -1), _MARKERS), "\n").alias("text"))
 
 
+_MATCHED = " OR ".join(f"regexp_matches(trim(line), '{p}')" for p in _PATTERNS)
+_NAMES = ", ".join(f"'{w}'" for w in _WIDGETS)
+
+
 @query(rf"""WITH l AS (SELECT doc_id, unnest({_LINES}) AS line, unnest(range(len({_LINES}))) AS i FROM documents WHERE text IS NOT NULL),
-  w AS (SELECT *, list_filter(regexp_split_to_array(trim(line), '[ \t]+'), lambda x: x <> '') AS w, list_filter(regexp_split_to_array(trim(line), '[ \t|·:,]+'), lambda x: x <> '') AS u FROM l),
-  k AS (SELECT *, (len(w) >= 6 AND len(list_filter(w, lambda x: length(x) > 8)) = 0 AND NOT regexp_matches(line, '[.!?。]')) AS menu,
-    (len(u) >= 3 AND len(list_filter(u, lambda x: lower(x) IN ('print', 'save', 'share', 'mail', 'chat', 'copy', 'link', 'comments', 'menu', 'search', 'close'))) / greatest(len(u), 1) >= 0.6) AS widget,
-    regexp_matches(line, '^©') OR regexp_matches(line, '^[ \t]*[-*»+][ \t]') OR regexp_matches(line, '@') AS pattern FROM w)
+  w AS (SELECT *, list_filter(regexp_split_to_array(trim(line), '[ \t]+'), lambda x: x <> '') AS w FROM l),
+  k AS (SELECT *, (len(w) >= 6 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '{C.MENU_WORD}'))) = 0 AND NOT regexp_matches(line, '[.!?"''“”「」]')) AS menu,
+    (len(w) >= 3 AND len(list_filter(w, lambda x: lower(x) IN ({_NAMES}) OR regexp_matches(x, '{C.WIDGET_SHAPES}'))) / greatest(len(w), 1) >= 0.6) AS widget, {_MATCHED} AS pattern FROM w)
   SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT menu AND NOT widget AND NOT pattern), '') AS text, count(*) FILTER (WHERE menu OR widget OR pattern) AS removed FROM k GROUP BY doc_id""")
 def boilerplate_lines(spark, d):
     lines = F.split("text", "\n", -1)

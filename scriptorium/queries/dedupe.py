@@ -54,6 +54,12 @@ def intake_statuses(spark, d):
     return D.acceptance(_arrivals(spark, d))
 
 
+@query()
+def intake_counters(spark, d):
+    """What a run of the intake reports: rows by status."""
+    return D.acceptance(_arrivals(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+
+
 # Kinds of document, those that go first when two carry one number.
 _PRECEDENCE = ["official", "policy", "case", "paper", "news", "webpage"]
 

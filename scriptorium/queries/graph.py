@@ -8,8 +8,8 @@ from scriptorium.catalog import query
 from scriptorium.operators import graph as G
 from scriptorium.storage import table
 
-_KNOWN = "entity_type IN ('Company', 'AIModel', 'Case', 'Artist', 'Law', 'Topic') AND neo4j_node_key IS NOT NULL"
-_REL = "relation_type IN ('DEVELOPS', 'DISCUSSES', 'CITES', 'RELATED_TO', 'MENTIONS')"
+_KNOWN = "entity_type IN ('Artist', 'Company', 'AIModel', 'Topic', 'Case', 'Law') AND neo4j_node_key IS NOT NULL"
+_REL = "relation_type IN ('DISCUSSES', 'MENTIONS', 'DEVELOPS', 'RELATED_TO', 'CITES')"
 
 
 @query(f"SELECT entity_type AS label, neo4j_node_key AS key, arg_max(name, (created_at, id)) AS name FROM entities WHERE {_KNOWN} GROUP BY ALL")

@@ -80,6 +80,19 @@ def csv_round_trip(spark, d):
     return spark.read.schema(rows.schema).csv(path, header=True, nullValue="\\N", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
+@query(r"""SELECT doc_id, coalesce(nullif(trim(regexp_replace(title, '[\x00-\x20]+', ' ', 'g')), ''), '다른 제목') AS title, nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS doi, nullif(trim(url), '') AS url, category IS NOT DISTINCT FROM 'unknown' AS deleted FROM documents""")
+def harvested_records(spark, d):
+    """Records as a harvest lands them, written as XML with titles in two languages and identifiers of two types, and read back; a record without an English title has its other one."""
+    docs = table(spark, d, "documents").withColumns({"title": F.nullif(F.trim(F.regexp_replace("title", "[\\x00-\\x20]+", " ")), F.lit("")), "url": F.nullif(F.trim("url"), F.lit(""))})
+    number = F.nullif(F.regexp_extract("url", "/([0-9]+)", 1), F.lit(""))
+    named = lambda kind, value: F.struct(F.lit(kind).alias("_type"), value.alias("_VALUE"))
+    title = lambda lang, value: F.struct(F.lit(lang).alias("_lang"), value.alias("_VALUE"))
+    identifiers = F.filter(F.array(named("url", F.col("url")), named("doi", number)), lambda x: x["_VALUE"].isNotNull())
+    status = F.struct(F.when(F.col("category").eqNullSafe("unknown"), F.lit("deleted")).alias("_status"))
+    record = F.struct(status.alias("header"), F.array(title("ko", F.lit("다른 제목")), title("en", F.col("title"))).alias("title"), identifiers.alias("identifier"))
+    return R.harvested(docs.select("doc_id", F.to_xml(record, {"rowTag": "record"}).alias("xml")), "xml").select("doc_id", "title", "doi", "url", "deleted")
+
+
 @query("SELECT doc_id, trim(title) AS title, url AS link FROM documents WHERE url IS NOT NULL AND title IS NOT NULL AND trim(title) <> ''")
 def feed_items(spark, d):
     """Feed entries, written as XML records and read back; entries without a link are left out."""
