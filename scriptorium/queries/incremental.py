@@ -120,7 +120,7 @@ _BASE = "regexp_replace(lower(trim({})), 'v[0-9]+$', '')".format
 
 
 @query(f"""WITH w AS (SELECT DISTINCT paper_id AS id FROM train_balanced WHERE split <> 'train' AND paper_id IS NOT NULL), h AS (SELECT DISTINCT paper_id AS id FROM train_balanced WHERE split = 'train' AND paper_id IS NOT NULL)
-  SELECT w.id, coalesce((SELECT min(h.id) FROM h WHERE h.id = w.id), (SELECT min(h.id) FROM h WHERE {_BASE('h.id')} = {_BASE('w.id')})) AS found FROM w""")
+  SELECT w.id, coalesce((SELECT min(h.id) FROM h WHERE h.id = w.id), (SELECT min(h.id) FROM h WHERE {_BASE('h.id')} = {_BASE('w.id')} AND {_BASE('w.id')} <> ''), (SELECT min(h.id) FROM h WHERE starts_with({_BASE('h.id')}, {_BASE('w.id')}) AND {_BASE('w.id')} <> '')) AS found FROM w""")
 def ids_by_precedence(spark, d):
     rows = table(spark, d, "train_balanced").where("paper_id is not null").select("split", F.col("paper_id").alias("id"))
     return R.by_precedence(rows.where("split <> 'train'").select("id").distinct(), rows.where("split = 'train'").select("id").distinct())

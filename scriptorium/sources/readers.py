@@ -73,14 +73,14 @@ def urls_by_title(rows: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def by_precedence(wanted: DataFrame, have: DataFrame) -> DataFrame:
-    """id, found: the id itself if we have it, else the least id of equal base (lower case, without version), else null."""
+    """id, found: the id itself if we have it, else the least id of equal base (lower case, without version), else the least id whose base begins with it, else null.
+
+    Beginnings are the substrings of the bases we have, one row each, so all three steps are joins on equality.
+    """
     base = F.regexp_replace(F.lower(F.trim("id")), "v[0-9]+$", "")
     exact = have.select("id", F.col("id").alias("exact")).distinct()
-    near = have.withColumn("base", base).groupBy("base").agg(F.min("id").alias("near"))
-    return wanted.withColumn("base", base).join(exact, "id", "left").join(near, "base", "left").select("id", F.coalesce("exact", "near").alias("found"))
-
-
-def pages(spark: SparkSession, folder: str) -> DataFrame:
-    """path, html: files decoded as UTF-8, else as Latin-1, from their bytes."""
-    raw = spark.read.format("binaryFile").load(folder)
-    return raw.select("path", F.coalesce(F.when(F.expr("is_valid_utf8(cast(content as string))"), F.col("content").cast("string")), F.decode("content", "iso-8859-1")).alias("html"))
+    based = have.withColumn("base", base).where("base <> ''")
+    near = based.groupBy("base").agg(F.min("id").alias("near"))
+    begin = based.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("base")), lambda n: F.substring("base", F.lit(1), n))).alias("base")).groupBy("base").agg(F.min("id").alias("begins"))
+    found = wanted.withColumn("base", base).join(exact, "id", "left").join(near, "base", "left").join(begin, "base", "left")
+    return found.select("id", F.coalesce("exact", "near", "begins").alias("found"))

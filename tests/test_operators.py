@@ -329,3 +329,9 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError):
         storage.shared_dir(Session)
+
+
+def test_ids_are_found_by_themselves_their_base_or_their_beginning(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    got = dict(readers.by_precedence(ids("2401.1v2", "2401.2", "2401", "x", "", None), ids("2401.1v3", "2401.1", "2401.2", "2401.2v1")).collect())
+    assert got == {"2401.1v2": "2401.1", "2401.2": "2401.2", "2401": "2401.1", "x": None, "": None, None: None}
