@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from scriptorium.catalog import query
@@ -12,14 +10,14 @@ from scriptorium.operators import maintenance as M
 from scriptorium.queries.dedupe import _arrivals
 from scriptorium.sources import readers as R
 from scriptorium.sources import sinks as S
-from scriptorium.storage import shared_dir, table
+from scriptorium.storage import scratch, table
 from scriptorium.streaming import intake
 
 
 @query()
 def incremental_intake(spark, d):
     """All documents as three landings in order of arrival, each taken in by a run of its own; statuses are those of the whole at once."""
-    home = f"{shared_dir(spark)}/intake-{uuid.uuid4().hex}"
+    home = scratch(spark, "intake")
     folder = f"{home}/landing"
     rows = _arrivals(spark, d)
     bounds = rows.select(F.percentile_approx(F.unix_micros(F.coalesce("created_at", F.lit(0).cast("timestamp"))), [0.33, 0.66])).first()[0]
@@ -67,7 +65,7 @@ def cascade_delete(spark, d):
 @query("SELECT doc_id, title, lang, published_at FROM documents")
 def json_lines_round_trip(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "title", "lang", "published_at")
-    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    path = scratch(spark, "jsonl")
     S.json_lines(rows, path)
     return R.json_lines(spark, path, rows.schema)
 
@@ -75,7 +73,7 @@ def json_lines_round_trip(spark, d):
 @query("SELECT doc_id, source, category FROM documents")
 def csv_round_trip(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source", "category")
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = scratch(spark, "csv")
     S.csv(rows, path)
     return spark.read.schema(rows.schema).csv(path, header=True, nullValue="\\N", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
