@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
 import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,7 +15,7 @@ import xxhash
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.storage import ship
+from scriptorium.storage import local_folder, ship
 
 SLICE = 512  # rows handled at once inside a task; bounds the memory of the Python worker
 
@@ -39,7 +38,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
 def share_arrays(spark: SparkSession, arrays: dict[str, np.ndarray]) -> str:
     """Send arrays of bounded size to every executor as files; gives the token under which tasks map them."""
     token = f"arrays-{uuid.uuid4().hex}"
-    folder = Path(tempfile.mkdtemp(prefix="arrays-"))
+    folder = local_folder("arrays")
     for name, array in arrays.items():
         np.save(folder / f"{token}-{name}.npy", array)
         spark.sparkContext.addFile(str(folder / f"{token}-{name}.npy"))
@@ -103,7 +102,7 @@ def share_letters(spark: SparkSession) -> None:
     """Send the table of look-alike letters to the executors, once an application."""
     sc = spark.sparkContext
     if sc.applicationId not in _shared:
-        path = Path(tempfile.mkdtemp(prefix="letters-")) / LETTERS_FILE
+        path = local_folder("letters") / LETTERS_FILE
         path.write_text(json.dumps(look_alikes(spark)))
         sc.addFile(str(path))
         _shared.add(sc.applicationId)

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import re
-import tempfile
 import uuid
 from collections import Counter
 from heapq import heapify, heappop, heappush
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.kernels import list_array, map_slices, mapped, share_arrays
-from scriptorium.storage import stage
+from scriptorium.storage import local_folder, stage
 
 VOCABULARY, WORDS, LEAST = "/opt/tokenizers/byte_bpe_50k.tiktoken", 32_768, 16
 # Fixed value: the vocabulary's own pattern of words.
@@ -289,7 +288,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, words: int = WORDS) ->
     The lexicon holds the `words` most frequent words of the corpus, so its size is bounded by that parameter.
     """
     spark = docs.sparkSession
-    shared = Path(tempfile.mkdtemp(prefix="vocabulary-")) / f"{uuid.uuid4().hex}-{Path(vocabulary).name}"
+    shared = local_folder("vocabulary") / f"{uuid.uuid4().hex}-{Path(vocabulary).name}"
     shared.write_bytes(Path(vocabulary).read_bytes())
     spark.sparkContext.addFile(str(shared))
 
