@@ -50,10 +50,9 @@ def trailing_numbers(citations: Column, ids: Column, text: Column) -> Column:
 
 
 def without_references(text: Column, share: float = 0.45) -> Column:
-    """The text before its last heading of references, if that stands behind `share` of the text."""
-    parts = F.split(F.regexp_replace(text, f"(?im)^[ \\t]*(?:references|bibliography|참고문헌){WS}*$", "\x00"), "\x00")
-    head = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), "References")
-    return F.when((F.size(parts) > 1) & (F.length(head) > share * F.length(text)), F.rtrim(head, F.lit("\n "))).otherwise(text)
+    """The text before its last line that heads references, if that stands behind `share` of the text."""
+    head = F.regexp_extract(text, "(?is)^(.*\\n)[ \\t]*(?:references|bibliography|참고문헌)[ \\t]*(?:\\n|$)", 1)
+    return F.when((head != "") & (F.length(head) > share * F.length(text)), F.rtrim(head, F.lit("\n "))).otherwise(text)
 
 
 def contexts(raw: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import arrays, dates
 from scriptorium.functions import text as T
-from scriptorium.operators import chunking, cleaning, dedupe, matching, training, validation
+from scriptorium.operators import chunking, cleaning, dedupe, matching, records, training, validation
 from scriptorium.plans import retrieval
 from scriptorium.sources import readers, sinks
 
@@ -335,3 +335,42 @@ def test_ids_are_found_by_themselves_their_base_or_their_beginning(spark):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
     got = dict(readers.by_precedence(ids("2401.1v2", "2401.2", "2401", "x", "", None), ids("2401.1v3", "2401.1", "2401.2", "2401.2v1")).collect())
     assert got == {"2401.1v2": "2401.1", "2401.2": "2401.2", "2401": "2401.1", "x": None, "": None, None: None}
+
+
+def test_answers_of_models(spark):
+    t = F.col("t")
+    read = lambda text: one(spark, records.parsed_extraction(t), t=text)
+    full = read('```json\n{"is_relevant": true, "category": "저작권", "entities": [{"name": "Suno", "entity_type": "AIModel"}, {"name": " ", "entity_type": "Case"}, {"name": "x", "entity_type": "Planet"}], "relations": [{"entity_name": "Suno", "entity_type": "AIModel", "relation_type": "DISCUSSES", "confidence": 0}, {"entity_name": "y", "entity_type": "Law", "relation_type": "CITES", "confidence": 0.9}, {"entity_name": "z", "entity_type": "Law", "relation_type": "EATS"}]}\n```')
+    assert full.is_relevant and full.category == "저작권" and [e.name for e in full.entities] == ["Suno"]
+    assert [(r.entity_name, r.confidence) for r in full.relations] == [("Suno", 0.5), ("y", 0.9)]
+    for broken in ("no answer", "{", "[]", ""):
+        r = read(broken)
+        assert (r.is_relevant, r.category, r.entities, r.relations) == (False, None, [], [])
+    assert read('{"is_relevant": true}').relations == []
+
+
+def test_citations_in_texts(spark):
+    t, ids = F.col("t"), F.array(F.lit("a1"), F.lit("b2"))
+    assert one(spark, records.numbered(t, ids), t="One [b2], two [a1][zz] and [q] end [zz].") == "One [2], two [1] and  end."
+    assert one(spark, records.numbered(t, ids), t="no ids") == "no ids" and one(spark, records.numbered(t, ids), t="open [b2") == "open [2]"
+    assert one(spark, records.trailing_numbers(F.array(F.lit("b2"), F.lit("zz"), F.lit("b2"), F.lit("a1")), ids, t), t="has [a1]") == [2]
+    assert one(spark, T.known_citations(t, ids), t="[a1] stays [zz] , [ ] goes [b2") == "[a1] stays,  goes [b2"
+    assert one(spark, T.citation_key(t), t=" [[a-1]] ") == "a-1"
+    body = "Start\nReferences\nnot here\n" + "text " * 30 + "\n참고문헌\n[1] x\n[2] y"
+    assert one(spark, records.without_references(t), t=body) == body[: body.index("\n참고문헌")].rstrip("\n ")
+    assert one(spark, records.without_references(t), t="References\n" + "long " * 20) == "References\n" + "long " * 20
+    assert one(spark, records.without_references(t), t="references are good") == "references are good" and one(spark, records.without_references(t), t=None) is None
+    assert one(spark, T.without_bibliography(t), t="End.\n  bibliography: \n[1]\n") == "End." and one(spark, T.without_bibliography(t), t="A bibliography of x") == "A bibliography of x"
+    assert one(spark, T.without_heading(t, F.lit("2) The  Title")), t="1. the title\n\nBody") == "Body" and one(spark, T.without_heading(t, F.lit("Other")), t="Title\nBody") == "Title\nBody"
+    assert one(spark, T.unfence(t), t="```\nx\n``` and more") == "x" and one(spark, T.unfence(t), t=" plain ") == "plain"
+
+
+def test_envelopes_and_inverted_texts(spark):
+    t = F.col("t")
+    df = spark.createDataFrame([(1, '{"rows": {"i": 5}}'), (2, '{"rows": [{"i": 6}, {"i": 7}]}'), (3, '[{"i": 8}]'), (4, '{"i": 9}'), (5, "broken"), (6, '{"rows": []}'), (7, None)], "k int, json string")
+    assert sorted((r.k, r.place, r.row.i) for r in readers.envelope_rows(df, "json", "rows", "struct<i:int>").collect()) == [(1, 1, 5), (2, 1, 6), (2, 2, 7), (3, 1, 8), (4, 1, 9)]
+    m = F.from_json(t, "map<string,array<int>>")
+    assert one(spark, arrays.from_inverted(m), t='{"the": [0, 3], "of": [2], "end": [1, 4]}') == "the end of the end"
+    assert one(spark, arrays.from_inverted(m), t="{}") == "" and one(spark, arrays.from_inverted(m), t=None) is None
+    feed = spark.createDataFrame([("<item><title> A &amp; B </title><link>http://x/1</link><pubDate>Tue, 02 Jan 2024 00:00:00 GMT</pubDate></item>",), ("<item><title>no link</title></item>",), ("<item><link> </link></item>",)], "xml string")
+    assert [(r.title, r.link, r.published) for r in readers.feed_items(feed, "xml").collect()] == [("A & B", "http://x/1", "Tue, 02 Jan 2024 00:00:00 GMT")]
