@@ -6,6 +6,7 @@ Every frame carries query_id, so all topics run in one job. Every ranking has a
 from __future__ import annotations
 
 from collections import Counter
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import proper_nouns
 from scriptorium.operators.matching import best_rows, containing, keep_best, map_blocks, nearest, same
-from scriptorium.storage import stage
+from scriptorium.storage import per_value, stage
 
 K1, B = 1.2, 0.75
 MOST_ASKED = 1_000_000  # words of topics, each topic's counted for itself, that are broadcast at once
@@ -39,8 +40,20 @@ def searchable(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 
 def bucket_vector(c: str, size: int = 64) -> F.Column:
     """A deterministic stand-in for an embedding: how many words of the text fall into each of `size` buckets of a hash; null without words."""
-    buckets = F.transform(terms(c), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % size)
-    return F.when(F.size(buckets) > 0, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double")))
+    find, known = regex.compile(_WORD).findall, {}
+
+    def bucket(word: str) -> int:
+        if word not in known:
+            if len(known) >= 1_000_000:
+                known.clear()
+            known[word] = int(md5(word.encode()).hexdigest()[:4], 16) % size
+        return known[word]
+
+    def vector(text: str) -> list[float] | None:
+        words = find(text.lower())
+        return np.bincount([bucket(w) for w in words], minlength=size).astype(float).tolist() if words else None
+
+    return per_value(vector, "array<double>")(F.col(c))
 
 
 def vector_channel(topics: DataFrame, chunks: DataFrame, k: int = CHANNEL_K, embed=bucket_vector) -> DataFrame:
