@@ -27,7 +27,8 @@ DOUBLE = ("cp949", "cp932", "gbk", "big5")
 WRITTEN = {"ko": ("cp949",), "ja": ("cp932", "euc_jp"), "zh": ("gbk", "big5"), "ru": ("cp1251", "koi8_r"), "uk": ("cp1251", "koi8_r")}
 _UTF8 = r"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}"
 # Whole runs of bytes that are UTF-8; a lone sequence of two bytes is one letter of two of these pages and counts only beside a Latin letter.
-_UTF8_RUNS = re.compile(rf"(?<![\x80-\xff])(?:(?:{_UTF8})*(?:[\xe0-\xf4][\x80-\xbf]{{2,3}}|(?:{_UTF8}){{2}})(?:{_UTF8})*|(?<=[A-Za-z])[\xc2-\xdf][\x80-\xbf]|[\xc2-\xdf][\x80-\xbf](?=[A-Za-z]))(?![\x80-\xff])".encode("latin-1"))
+_RUN = rf"(?:{_UTF8})*(?:[\xe0-\xef][\x80-\xbf]{{2}}|[\xf0-\xf4][\x80-\xbf]{{3}}|(?:{_UTF8}){{2}})(?:{_UTF8})*(?![\x80-\xff])"
+_UTF8_RUNS = re.compile(rf"[\x00-\x7f](?=[\xc2-\xf4][\x80-\xbf])(?:{_RUN}|[\xc2-\xdf][\x80-\xbf](?=[A-Za-z])|(?<=[A-Za-z])[\xc2-\xdf][\x80-\xbf](?![\x80-\xff]))".encode("latin-1"))
 
 
 @cache
@@ -47,6 +48,12 @@ def _characters(codec: str) -> frozenset[str]:
     return frozenset(map(chr, _page(codec)))
 
 
+@cache
+def _singles() -> frozenset[str]:
+    """What begins or goes on with a sequence in any page of single bytes."""
+    return frozenset().union(*(part for codec in SINGLE for part in _ends(codec)))
+
+
 @cache
 def _passages(codec: str) -> re.Pattern:
     """Passages whose characters are, byte by byte of the code page, valid UTF-8."""
@@ -66,7 +73,7 @@ def _ends(codec: str) -> tuple[frozenset[str], frozenset[str]]:
 
 
 _PAIR = re.compile("[^\\x00-\\x7f]{2}")
-_HAN, _HANGUL = re.compile("[㐀-鿿豈-﫿｡-ﾟ]"), re.compile("[가-힣]")
+_HAN = re.compile("[㐀-鿿豈-﫿｡-ﾟ]").match
 
 
 def _raw(text: str, codec: str) -> bytes | None:
@@ -86,7 +93,7 @@ def _utf8_read_as(text: str, codec: str) -> str | None:
     """The text with every passage undone that is UTF-8 read in the code page; None if there is none."""
     if codec in DOUBLE:
         raw = text.encode(codec, "replace")
-        if not _UTF8_RUNS.search(raw):
+        if not _UTF8_RUNS.search(b"\n" + raw):
             return None
         try:
             return raw.decode("utf-8")
@@ -117,12 +124,12 @@ def steps_back(text: str, written: tuple[str, ...], known: frozenset[str]) -> li
     """
     out = []
     beyond = {c for c in set(text) if c > "\x7f"}
-    for codec in SINGLE:
+    narrow = beyond & _singles()
+    for codec in SINGLE if len(narrow) > 1 and _PAIR.search(text) else ():
         first, later = _ends(codec)
-        if not beyond.isdisjoint(first) and not beyond.isdisjoint(later) and _PAIR.search(text) and _passages(codec).search(text):
+        if not narrow.isdisjoint(first) and not narrow.isdisjoint(later) and _passages(codec).search(text):
             out.append((_utf8_read_as(text, codec), (codec, "utf-8")))
-    asian = max(beyond, default="") >= "\u3400"
-    for codec in () if not asian else DOUBLE if _HAN.search(text) else DOUBLE[:1] if _HANGUL.search(text) else ():
+    for codec in () if max(beyond, default="") < "\u3400" else DOUBLE if any(map(_HAN, beyond)) else DOUBLE[:1]:
         was = _utf8_read_as(text, codec)
         if was is not None:
             out.append((was, (codec, "utf-8")))
