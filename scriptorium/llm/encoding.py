@@ -1,7 +1,7 @@
 """Problem 7: text that went through a wrong character encoding, by minimum description length.
 
 Text goes wrong when bytes written in one encoding are read in another. A table of code pages gives the ways back; every chain of
-them that a line admits gives candidates, until no further step back makes the description shorter. Each candidate is
+them that a line admits gives candidates; after each step those of shortest description go on. Each candidate is
 compressed with a zstandard dictionary per language, and the one of least compressed size plus chain cost wins. If
 that is the stored text, the line stays unchanged.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from scriptorium.llm.kernels import SPACE_KINDS, map_slices
 from scriptorium.llm.samples import LANGUAGES, SAMPLE_DOCS, labelled_lines
 
-DICTIONARY_CHARS, STEP_COST, NEW_CHARACTER_COST, WIDTH = 24_000, 3, 4, 3
+DICTIONARY_CHARS, STEP_COST, NEW_CHARACTER_COST, WIDTH = 24_000, 3, 4, 8
 
 # Code pages of one byte a character and of several in which bytes may have been read, and by language the encodings beside UTF-8 in which they may have been written.
 SINGLE = ("cp1252", "cp1251", "cp1250", "iso8859_2", "koi8_r", "mac_roman", "cp437", "cp850")
@@ -96,9 +96,11 @@ def _utf8_read_as(text: str, codec: str) -> str | None:
         if not _UTF8_RUNS.search(b"\n" + raw):
             return None
         try:
-            return raw.decode("utf-8")
-        except UnicodeDecodeError:
-            return re.sub("[^\x00-\x7f]+", lambda m: _whole_run(m.group(), codec), text)
+            return text.encode(codec).decode("utf-8")
+        except UnicodeError:  # only where most of the line went wrong: a few syllables are valid UTF-8 by chance
+            was = re.sub("[^\x00-\x7f]+", lambda m: _whole_run(m.group(), codec), text)
+            rest = sum(a == b for a, b in zip(re.findall("[^\x00-\x7f]+", text), re.findall("[^\x00-\x7f]+", was)))
+            return was if 2 * rest <= len(re.findall("[^\x00-\x7f]+", text)) else None
 
     def undo(m: re.Match) -> str:
         try:
@@ -170,8 +172,8 @@ class Compressors:
     def best(self, line: str, step_cost: int = STEP_COST, width: int = WIDTH) -> tuple[str, tuple]:
         """The text and chain of least description length; (line, ()) if no chain is shorter.
 
-        Chains have any length: while a further step back shortens the description, the `width` shortest go on. Every step also
-        shortens the text in UTF-8, so a chain ends, and no text is met twice.
+        Chains have any length: after each step the `width` texts of shortest description go on. Every step shortens the text in
+        UTF-8, so a chain ends, and no text is met twice. Half of a double mistake need not look better than the whole.
         """
         if line.isascii() or not (found := steps_back(line, self.written, self.known)):
             return line, ()
@@ -179,14 +181,14 @@ class Compressors:
         best, seen, last = (line, ()), {line}, [(least, line, (), found)]
         while last:
             new = []
-            for cost, text, chain, found in last:
+            for _, text, chain, found in last:
                 room = len(text.encode("utf-8", "surrogatepass"))
                 for was, step in found:
                     if was not in seen and "\x00" not in was and len(was.encode("utf-8", "surrogatepass")) < room:
                         seen.add(was)
-                        after = self.size(was) + step_cost * (len(chain) + 1)
-                        if after < cost:
-                            new.append((after, was, (*chain, step)))
+                        partly = any(c > "\x7f" for c in set(text).intersection(was))  # then it must be told where
+                        after = self.size(was) + step_cost * (len(chain) + 1 + partly)
+                        new.append((after, was, (*chain, step)))
             new.sort(key=lambda x: x[0])
             if new and new[0][0] < least:
                 least, best = new[0][0], new[0][1:]

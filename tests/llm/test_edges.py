@@ -268,6 +268,16 @@ def test_other_encodings_and_mixed_lines():
     assert fix.line("„Köln“ – " + "Zürich".encode().decode("cp1252"))[0] == "„Köln“ – Zürich"
     assert fix.field("Köln\nein Rest � fehlt") == ("Köln\nein Rest � fehlt", "", False)
     assert fix.field("Köln – Zürich\n" + ko) is None
+    assert fix.line("청청 측은 이를 비교했다")[1] == () and fix.line("일반 한국어 문장 속의 첫 낱말")[1] == ()  # syllables whose bytes are UTF-8 by chance
+
+
+def test_half_of_a_double_mistake_need_not_look_better():
+    sample = "La sociedad de gestión retiró a comienzos de primavera el acuerdo. Un coro de la costa publicó la licencia piloto sobre la autoría."
+    fix = encoding.Compressors([sample.encode(), "La conférence de l’été".encode()], ("es", "fr"))
+    line = "Para Gyssit, la sociedad de gestión publicó la licencia"
+    bad = line.encode().decode("cp1252").encode().decode("cp1252")
+    assert fix.best(bad) == (line, (("cp1252", "utf-8"),) * 2)
+    assert fix.best("à la conférence de l’île, car") == ("à la conférence de l’île, car", ())
 
 
 def _undefined(codec):
