@@ -5,9 +5,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.operators.similar import best_in_blocks, similar_pairs
 from scriptorium.storage import stage
 
 THRESHOLD = 0.6
@@ -31,48 +31,33 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(each))
 
 
-def _bitmap(grams: Column, half: int) -> Column:
-    """64 of 128 hashed bits of a set."""
-    bit = lambda g: F.when(F.pmod(F.floor(F.pmod(F.xxhash64(g), F.lit(128)) / 64), F.lit(2)) == half, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(g), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(grams, F.lit(0).cast("long"), lambda acc, g: acc.bitwiseOR(bit(g)))
+def _titles(docs: DataFrame) -> DataFrame:
+    """id, document_type, title, known, t: the different titles of each type with their trigrams, staged, so that ids stay."""
+    given = docs.where("title is not null and document_type is not null")
+    known = F.min("known") if "known" in docs.columns else F.min(F.lit(False))
+    titles = given.groupBy("document_type", "title").agg(known.alias("known"))
+    return stage(titles.select(F.monotonically_increasing_id().alias("id"), "document_type", "title", "known", trigrams(F.col("title")).alias("t")), "trigrams")
 
 
 def similar_titles(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """document_type, title_a, title_b, similarity: different titles of a type with a trigram Jaccard similarity over the threshold.
 
-    Equal titles collapse first. Two sets that similar must share a trigram among their rarest few, so only those prefixes
-    are joined, rarest first by document frequency; no pair is lost, and common trigrams form no large groups. Where
-    hashed bitmaps show that the sets can't share enough, a pair is dropped inside the join; every other candidate is verified on the
-    whole sets. Null titles, and null types, match nothing. With a boolean column `known` only pairs with a title that has a row where it is
-    false are sought: what is new against all.
+    Equal titles collapse first. The sets are packed into blocks, and every two blocks with a type in common meet in one task: two sets that similar
+    must share a trigram among their rarest few, only those meet there, and each candidate is verified on the whole sets where it is found
+    (`similar`). No pair is lost, and no candidate is shuffled. Null titles, and null types, match nothing. With a boolean column `known` only
+    pairs with a title that has a row where it is false are sought: what is new against all.
     """
-    given = docs.where("title is not null and document_type is not null")
-    titles = given.groupBy("document_type", "title").agg(F.min("known").alias("known")) if "known" in docs.columns else given.select("document_type", "title").distinct().withColumn("known", F.lit(False))
-    sets = stage(titles.select("document_type", "title", "known", trigrams(F.col("title")).alias("t")).where(F.size("t") > 0), "trigrams")
-    sets = stage(sets.select("*", _bitmap(F.col("t"), 0).alias("b0"), _bitmap(F.col("t"), 1).alias("b1")), "bitmaps")
-    each = sets.select("document_type", "title", F.explode("t").alias("g"), F.size("t").alias("n"), "b0", "b1", "known")
-    counts = each.groupBy("g").agg(F.count("*").alias("df"))
-    w = W.partitionBy("document_type", "title").orderBy("df", "g")
-    prefix = each.join(counts, "g").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("document_type", "title", "g", "n", "r", "b0", "b1", "known")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    lone = lambda x, y: sum(F.bit_count(F.col(f"{x}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.b{i}")))) for i in (0, 1))
-    needed = F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-9
-    # what two sets share begins with their rarest common trigram, so from there on enough must be left
-    near = (F.least(F.col("a.n") - F.col("a.r"), F.col("b.n") - F.col("b.r")) + 1 >= needed) & (F.col("a.n") - lone("a", "b") >= needed) & (F.col("b.n") - lone("b", "a") >= needed)
-    met = a.join(b, (F.col("a.document_type") == F.col("b.document_type")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.title") < F.col("b.title")) & ~(F.col("a.known") & F.col("b.known")) & near)
-    pairs = met.select("a.document_type", F.col("a.title").alias("title_a"), F.col("b.title").alias("title_b")).distinct()
-    one = sets.select("document_type", F.col("title").alias("title_a"), F.col("t").alias("s"))
-    two = sets.select("document_type", F.col("title").alias("title_b"), F.col("t").alias("u"))
-    both = pairs.join(one, ["document_type", "title_a"]).join(two, ["document_type", "title_b"]).withColumn("both", F.size(F.array_intersect("s", "u")))
-    return both.select("document_type", "title_a", "title_b", (F.col("both") / (F.size("s") + F.size("u") - F.col("both"))).alias("similarity")).where(F.col("similarity") > threshold)
+    return similar_pairs(_titles(docs), threshold)
 
 
 def best_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """document_type, title, best, similarity: of each title the most similar other one of its type over the threshold, of equals the least."""
-    pairs = similar_titles(docs, threshold)
-    both = pairs.select("document_type", F.col("title_a").alias("title"), F.col("title_b").alias("other"), "similarity").unionByName(pairs.select("document_type", F.col("title_b").alias("title"), F.col("title_a").alias("other"), "similarity"))
-    best = both.groupBy("document_type", "title").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "other")).alias("m"))
-    return best.select("document_type", "title", F.col("m.other").alias("best"), (-F.col("m.s")).alias("similarity"))
+    """document_type, title, best, similarity: of each title the most similar other one of its type over the threshold, of equals the least.
+
+    Pairs are never listed: each task gives the best of a title in a block, and the least of them is taken.
+    """
+    titles = _titles(docs)
+    best = best_in_blocks(titles, threshold).groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "best")).alias("m"))
+    return titles.select("id", "document_type", "title").join(best, "id").select("document_type", "title", F.col("m.best").alias("best"), (-F.col("m.s")).alias("similarity"))
 
 
 def acceptance(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -320,6 +320,43 @@ def test_best_matches(spark):
     assert got == {("a", x): ys[0][1] for x, ys in near.items() if ys}
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_similar_sets_in_blocks_equal_brute_force(spark, block):
+    from scriptorium.operators import similar
+
+    rnd = random.Random(5)
+    words = ["red", "green", "blue", "white", "black", "노란", "큰 집", "東京"]
+    titles = {(rnd.choice(["a", "b", "c"]), " ".join(rnd.choices(words, k=rnd.randint(0, 6))), rnd.random() < 0.3) for _ in range(150)}
+    titles = list({t[:2]: t for t in titles}.values())
+    docs = spark.createDataFrame(titles, "document_type string, title string, known boolean")
+    alike = lambda x, y: len(grams(x) & grams(y)) / len(grams(x) | grams(y)) if grams(x) else 0
+    for threshold in (0.3, 0.6, 0.9):
+        expected = {(a[0], *sorted((a[1], b[1])), alike(a[1], b[1])) for a in titles for b in titles if a[0] == b[0] and a[1] < b[1] and not (a[2] and b[2]) and alike(a[1], b[1]) > threshold}
+        got = list(map(tuple, similar.similar_pairs(dedupe._titles(docs), threshold, block).collect()))
+        assert set(got) == expected and len(got) == len(expected)
+    assert dedupe.similar_titles(docs.limit(0)).count() == 0 and dedupe.best_matches(docs.limit(0)).count() == 0
+
+
+def local_bytes(spark):
+    """Bytes that Spark keeps on this disk: shuffle and spill files."""
+    from pathlib import Path
+
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.stat().st_size for x in folders for f in Path(x.getPath()).rglob("shuffle_*"))
+
+
+@pytest.mark.parametrize("which", ["best_matches", "similar_titles"])
+def test_no_candidate_is_shuffled(spark, which):
+    import hashlib
+
+    names = [hashlib.md5(str(i).encode()).hexdigest()[:10] for i in range(400)]
+    docs = spark.createDataFrame([("a", f"yearly report on the water supply and the public libraries of {x}") for x in names], "document_type string, title string")
+    before = local_bytes(spark)
+    found = getattr(dedupe, which)(docs).collect()
+    assert len(found) == (400 if which == "best_matches" else 400 * 399 / 2)
+    assert local_bytes(spark) - before < 100_000
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     from scriptorium import storage
 
