@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.operators.similar import best_in_blocks, similar_pairs
+from scriptorium.operators.similar import best_in_blocks, similar_ids, similar_pairs
 from scriptorium.storage import stage
 
 THRESHOLD = 0.6
@@ -67,25 +67,30 @@ def acceptance(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     accepted before it: an equal hash makes it a duplicate, a similar or equal title of its type a near duplicate; else its flag
     decides. Order of arrival is (created_at, doc_id). All rows decide at once in rounds: a row is settled when the least
     accepted or least open arrival among its neighbours tells; settled rows leave the loop. Neighbours are summed up per hash and per title, never
-    paired row by row. known: documents accepted in earlier runs, of the same columns; they come first and are not reported.
+    paired row by row; titles and arrivals are numbers there. known: documents accepted in earlier runs, of the same columns; they come first and are not reported.
     """
     docs = docs.select("doc_id", "created_at", "content_hash", "document_type", "title", "relevant").withColumn("known", F.lit(False))
     if known is not None:
         docs = docs.unionByName(known.select("doc_id", "created_at", "content_hash", "document_type", "title", "relevant").withColumn("known", F.lit(True)))
-    order = F.struct((~F.col("known")).alias("new"), F.coalesce("created_at", F.lit(0).cast("timestamp")).alias("at"), F.col("doc_id").alias("id"))
-    rows = docs.select("doc_id", "known", order.alias("o"), "content_hash", F.concat_ws("\x1f", "document_type", F.when(F.col("document_type").isNotNull(), F.col("title"))).alias("k"), (F.col("title").isNotNull() & F.col("document_type").isNotNull()).alias("has_k"), F.coalesce("relevant", F.lit(False)).alias("relevant"))
-    rows = rows.withColumn("k", F.when(F.col("has_k"), F.col("k"))).drop("has_k")
-    links = similar_titles(docs).select(F.concat_ws("\x1f", "document_type", "title_a").alias("a"), F.concat_ws("\x1f", "document_type", "title_b").alias("b"))
-    own = rows.where("k is not null").select(F.col("k").alias("a"), F.col("k").alias("b")).distinct()
-    near = stage(links.union(links.select("b", "a")).union(own), "title-links")
+    order = (~F.col("known"), F.coalesce("created_at", F.lit(0).cast("timestamp")), F.col("doc_id"))
+    rows = stage(docs.withColumn("relevant", F.coalesce("relevant", F.lit(False))).orderBy(*order).withColumn("o", F.monotonically_increasing_id()), "arrivals")
+    # a title's id is its first arrival, so a link leads from the later title to the earlier one; back only where the earlier one comes again later
+    titles = rows.where("title is not null and document_type is not null").groupBy("document_type", "title").agg(F.min("o").alias("id"), F.max("o").alias("last"), F.min("known").alias("known"))
+    titles = stage(titles.select("*", trigrams(F.col("title")).alias("t")), "trigrams")
+    links = stage(similar_ids(titles, THRESHOLD).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "title-links")
+    again = links.join(titles.where("last > id").select(F.col("id").alias("b"), "last"), "b").where("last > a").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    near = links.unionByName(again)
+    rows = rows.join(titles.select("document_type", "title", F.col("id").alias("k")), ["document_type", "title"], "left")
     state = stage(rows.select("doc_id", "o", "content_hash", "k", "relevant", F.lit(False).alias("touched"), F.when(F.col("known"), "inserted").alias("status")), "acceptance")
     settled = []
     while True:
         accepted, still = F.col("status") == "inserted", F.col("status").isNull()
-        least = (F.min(F.when(accepted, F.col("o"))).alias("acc"), F.min(F.when(still, F.col("o"))).alias("open"))
+        # a row that is not relevant is never accepted, so none waits for it
+        least = (F.min(F.when(accepted, F.col("o"))).alias("acc"), F.min(F.when(still & F.col("relevant"), F.col("o"))).alias("open"))
         by_hash = state.where("content_hash is not null").groupBy("content_hash").agg(*least).select("content_hash", F.col("acc").alias("h_acc"), F.col("open").alias("h_open"))
         by_title = state.where("k is not null").groupBy(F.col("k").alias("b")).agg(*least)
-        around = near.join(by_title, "b").groupBy(F.col("a").alias("k")).agg(F.min("acc").alias("t_acc"), F.min("open").alias("t_open"))
+        beside = near.join(by_title, "b").select("a", "acc", "open").unionByName(by_title.select(F.col("b").alias("a"), "acc", "open"))
+        around = beside.groupBy(F.col("a").alias("k")).agg(F.min("acc").alias("t_acc"), F.min("open").alias("t_open"))
         seen = state.where(still).join(by_hash, "content_hash", "left").join(around, "k", "left")
         before = lambda c: F.coalesce(F.col(c) < F.col("o"), F.lit(False))
         touched = F.col("touched") | before("t_acc")
