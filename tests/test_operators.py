@@ -357,6 +357,19 @@ def test_no_candidate_is_shuffled(spark, which):
     assert local_bytes(spark) - before < 100_000
 
 
+def test_intake_stages_no_titles_for_links(spark):
+    from pathlib import Path
+
+    rows = [(i, None, f"h{i}", "a", f"yearly report on the water supply of district {i:03d}", True) for i in range(120)]
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    old = set(shared.glob("stage-title-links-*"))
+    got = dict(dedupe.acceptance(spark.createDataFrame(rows, ARRIVALS)).collect())
+    assert got[0] == "inserted" and all(got[i] == "near_duplicate" for i in range(1, 120))
+    made = set(shared.glob("stage-title-links-*")) - old
+    links = [spark.read.parquet(str(p)) for p in made]
+    assert made and all(kind == "bigint" for x in links for _, kind in x.dtypes) and max(x.count() for x in links) == 120 * 119 / 2
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     from scriptorium import storage
 
