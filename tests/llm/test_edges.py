@@ -218,6 +218,20 @@ def test_phrases_equal_the_loop():
     assert got.tolist() == [[loop(t, x) for x in lines] for t in trained]
 
 
+def test_automata_are_built_on_the_driver_and_lines_coded_together(monkeypatch):
+    rnd = np.random.default_rng(7)
+    trained = [rnd.integers(0, 64, 500).astype(np.uint8) for _ in range(2)]
+    sent, whole = [language.suffix_automaton(t) for t in trained], language.parser(trained)
+    monkeypatch.setattr(language, "suffix_automaton", None)  # a worker lays out what it was sent
+    table, roots = language._parser("token", type("Sent", (), {"value": sent}))
+    assert table.tolist() == whole[0].tolist() and roots.tolist() == whole[1].tolist()
+    lines = ["", "…Été, l’île", "등록 A1", "  ", "ΣΑΣ", "", "\ud800 x", "İI", "日本 かな"]
+    got = language.coded_lines(lines)
+    assert [x.tolist() for x in got] == [language.coded(x).tolist() for x in lines]
+    assert got[1].tolist() == [0, *language.coded("été").tolist(), 0, 12, 0, *language.coded("île").tolist()]
+    assert [len(x) for x in got] == [0, 10, 9, 1, 9, 0, 2, 3, 13]
+
+
 @pytest.mark.parametrize("similarity", [0.3, 0.6, 0.9])
 def test_darts_agree_as_often_as_the_similarity(similarity):
     rnd = np.random.default_rng(3)
@@ -271,6 +285,14 @@ def test_other_encodings_and_mixed_lines():
     assert fix.line("청청 측은 이를 비교했다")[1] == () and fix.line("일반 한국어 문장 속의 첫 낱말")[1] == ()  # syllables whose bytes are UTF-8 by chance
 
 
+def test_no_page_is_tried_where_no_passage_can_begin(monkeypatch):
+    fix = encoding.Compressors([b"x"])
+    lines = ["« Köln » – 등록 심사관은 « é » 이용했다", "été – où 管理団体"]
+    found = [fix.best(line) for line in lines]
+    monkeypatch.setattr(encoding, "_passages", None)
+    assert [fix.best(line) for line in lines] == found == [(line, ()) for line in lines]
+
+
 def test_half_of_a_double_mistake_need_not_look_better():
     sample = "La sociedad de gestión retiró a comienzos de primavera el acuerdo. Un coro de la costa publicó la licencia piloto sobre la autoría."
     fix = encoding.Compressors([sample.encode(), "La conférence de l’été".encode()], ("es", "fr"))
